@@ -144,14 +144,11 @@ def _tie(table: pa.Table) -> pa.Table:
 
 
 def _segments(k: int):
-    schema = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(0)
-            for i, j, data, off in slices(batch.column(1)):
+            for i, j, data, off in slices(batch.column(batch.num_columns - 1)):
                 grams = [s.tobytes() for s in shingle_sets(Words(data, off, NON_SPACE), k)]
-                yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), pa.array(grams, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], pa.array(grams, pa.binary())], names=[*batch.schema.names[:-1], "grams"])
 
     return run
 
@@ -187,6 +184,7 @@ def _count(percent: int):
         out_node, out_root, out_links = [], [], []
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist(), strict=True):
             rows = order[a:b]
+            rows = rows[np.unique(node[rows], return_index=True)[1]]  # a row that repeats brings its node again
             if len(rows) < 2:
                 continue
             sets = [np.frombuffer(grams[int(i)].as_py(), np.uint64) for i in rows]
@@ -238,12 +236,11 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 4, percent: int = 85, text
     if n_nodes:
         first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
         first = ws.save(first.join(parts, "node"), "first")
-        wanted = first.select("doc_id", "node")
-        found = docs.join(F.broadcast(wanted) if n_nodes <= 500_000 else wanted.hint("merge"), "doc_id").dropDuplicates(["node"])
-        grams = ws.save(found.select("node", "text").mapInArrow(_segments(k), "node long, grams binary"), "grams")
-        blocks = parts.groupBy(F.col("root")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-        rows = grams.join(first.select("node", "copies", F.col("root").alias("part")), "node").join(blocks.withColumnRenamed("root", "part"), "part")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        blocks = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+        wanted = first.join(blocks, "root").select("doc_id", "node", F.col("root").alias("part"), "blocks", "copies")
+        wanted = ws.save(wanted.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "wanted")
+        found = docs.join(F.broadcast(wanted) if n_nodes <= 200_000 else wanted.hint("merge"), "doc_id")
+        rows = found.select("node", "part", "blocks", "copies", "block", "text").mapInArrow(_segments(k), "node long, part long, blocks long, copies long, block long, grams binary")
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows = rows.select("part", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block", "copies", "grams")
         calls = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_nodes // 500)
@@ -260,5 +257,5 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 4, percent: int = 85, text
     named = nodes.join(least, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = sets.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = ws.save(out, "out")
-    ws.drop("tied", "parts", "grams", "first", "counted", "nodes")
+    ws.drop("tied", "parts", "wanted", "first", "counted", "nodes")
     return out

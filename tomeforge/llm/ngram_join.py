@@ -11,7 +11,7 @@ each document's set falls into segments, one per fragment:
    more than SPARE empty segments is cut once more in another order of the n-grams, and a set for
    which that holds in every order also joins by its empty segments: nothing is lost.
 2. Each key's sets are tied by a star to the smallest one, never as all pairs; the connected parts of that
-   graph hold every link.
+   graph hold every link. Its vertices are (set, size window), so sets of unlike sizes are not chained together.
 3. Within a part, blocks of sets meet pairwise. The n-gram order is cut again, the overlaps are
    counted fragment by fragment as products of 0/1 matrices, and summed for each pair. Each
    block pair returns a spanning forest of its links and the number of links of each set, not the pairs.
@@ -51,7 +51,7 @@ def size_windows(percent: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, node) of each segment of each set."""
+    """(key, vertex) of each segment of each set in each of its size windows."""
     low, high = size_windows(percent)
     sizes = np.array([len(s) for s in sets], np.int64)
     keys, owners = [], []
@@ -77,28 +77,34 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple
             where, piece = at[first], fragment[first]
             tag = mix(window[where].astype(np.uint64) * np.uint64(1 << 32) + piece * np.uint64(ORDERS) + np.uint64(order))
             keys.append(mix(total ^ tag ^ (filled.astype(np.uint64) << np.uint64(40))))
-            owners.append(nodes[doc[where]])
+            owners.append((nodes[doc] ^ (window * VERTEX))[where])
             odd = np.flatnonzero(cuts - np.bincount(where, minlength=len(todo)) > SPARE)
             if order == ORDERS - 1:
                 for t in odd.tolist():
                     empty = np.setdiff1d(np.arange(cuts[t]), piece[where == t].astype(np.int64)).astype(np.uint64)
                     keys.append(mix(mix(np.uint64(window[t]) * np.uint64(1 << 32) + empty) ^ np.uint64(0x6A09E667F3BCC909)))
-                    owners.append(np.full(len(empty), nodes[doc[t]]))
+                    owners.append(np.full(len(empty), nodes[doc[t]] ^ (window[t] * VERTEX)))
             todo = [todo[t] for t in odd.tolist()]
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners)
 
 
+#: A set's vertex in a size window is node ^ (window * VERTEX); windows are fewer than 256.
+VERTEX = 0x1B873593CC9E2D | 1
+
+
 def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_SHUFFLED = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())])
-_TIED = "doc_id long, n long, node long, a long, b long"
+_SHUFFLED = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())])
+_TIED = "doc_id long, n long, node long, low long, high long, a long, b long"
 
 
 def _scan(k: int, percent: int, buckets: int):
+    lows, highs = size_windows(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -107,7 +113,7 @@ def _scan(k: int, percent: int, buckets: int):
                 node = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
                 home = (node.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 n = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(ids[i:j], pa.int64()), pa.array(n, pa.int64()), pa.array([x if m else None for x, m in zip(node.tolist(), n, strict=True)], pa.int64()), pa.nulls(j - i, pa.binary()), pa.nulls(j - i, pa.binary())], schema=_SHUFFLED)
+                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(ids[i:j], pa.int64()), pa.array(n, pa.int64()), pa.array([x if m else None for x, m in zip(node.tolist(), n, strict=True)], pa.int64()), pa.array(np.searchsorted(highs, n, "left")), pa.array(np.searchsorted(lows, n, "right") - 1), pa.nulls(j - i, pa.binary()), pa.nulls(j - i, pa.binary())], schema=_SHUFFLED)
                 _, once = np.unique(node, return_index=True)
                 keys, owners = signatures([sets[x] for x in once], node[once], percent)
                 bucket = (keys % np.uint64(buckets)).astype(np.int64)
@@ -116,7 +122,7 @@ def _scan(k: int, percent: int, buckets: int):
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
                 ends = np.append(cut[1:], len(bucket))
                 m = len(cut)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([owners[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], schema=_SHUFFLED)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *[pa.nulls(m, pa.int64())] * 5, pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([owners[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], schema=_SHUFFLED)
 
     return run
 
@@ -125,7 +131,7 @@ def _tie(table: pa.Table) -> pa.Table:
     """Rows of documents go through; of the sets that share a key, each is tied to the smallest."""
     import pyarrow.compute as pc
 
-    docs = table.filter(pc.is_valid(table["n"])).select(["doc_id", "n", "node"])
+    docs = table.filter(pc.is_valid(table["n"])).select(["doc_id", "n", "node", "low", "high"])
     blobs = table.filter(pc.is_valid(table["keys"]))
     keys = np.frombuffer(b"".join(blobs["keys"].to_pylist()), np.uint64)
     owners = np.frombuffer(b"".join(blobs["owners"].to_pylist()), np.int64)
@@ -138,9 +144,9 @@ def _tie(table: pa.Table) -> pa.Table:
         pair = np.unique(np.stack([owners, least])[:, owners != least], axis=1)
         a, b = pair[0], pair[1]
     n, m = docs.num_rows, len(a)
-    names = ["doc_id", "n", "node", "a", "b"]
-    top = pa.table([docs["doc_id"], docs["n"], docs["node"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
-    return pa.concat_tables([top, pa.table([pa.nulls(m, pa.int64())] * 3 + [pa.array(a), pa.array(b)], names=names)])
+    names = ["doc_id", "n", "node", "low", "high", "a", "b"]
+    top = pa.table([*docs.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+    return pa.concat_tables([top, pa.table([pa.nulls(m, pa.int64())] * 5 + [pa.array(a), pa.array(b)], names=names)])
 
 
 def _segments(k: int):
@@ -177,6 +183,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _count(percent: int):
     def run(table: pa.Table) -> pa.Table:
         part, one, two = (table[c].to_numpy() for c in ("part", "one", "two"))
+        low, window = table["low"].to_numpy(), table["window"].to_numpy()
         node, block, weight, grams = table["node"].to_numpy(), table["block"].to_numpy(), table["copies"].to_numpy(), table["grams"]
         order = np.lexsort((two, one, part))
         same = np.append(False, (part[order][1:] == part[order][:-1]) & (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]))
@@ -192,6 +199,7 @@ def _count(percent: int):
             common = overlaps(sets)
             linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
             np.fill_diagonal(linked, False)
+            linked &= np.maximum(low[rows][:, None], low[rows][None, :]) == window[rows[0]]  # once: in the first window of both
             if one[rows[0]] != two[rows[0]]:
                 linked &= block[rows][:, None] != block[rows][None, :]
             if not linked.any():
@@ -227,22 +235,24 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 4, percent: int = 85, text
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume // (20 << 20)) + 1)  # each holds some 20 MB of keys
-    scanned = docs.mapInArrow(_scan(k, percent, buckets), "bucket long, doc_id long, n long, node long, keys binary, owners binary")
+    scanned = docs.mapInArrow(_scan(k, percent, buckets), "bucket long, doc_id long, n long, node long, low long, high long, keys binary, owners binary")
     tied = ws.save(scanned.groupBy("bucket").applyInArrow(_tie, _TIED), "tied")
     sets = tied.filter("n is not null").select("doc_id", "n", "node")
     edges = tied.filter("a is not null").select("a", "b")
     parts = ws.save(connected_components(ws, edges, "parts"), "parts")
     n_nodes = parts.count()
     if n_nodes:
-        first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-        first = ws.save(first.join(parts, "node"), "first")
+        first = tied.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("low").alias("low"), F.min("high").alias("high"))
+        first = first.withColumn("window", F.explode(F.sequence("low", "high"))).withColumn("vertex", F.col("node").bitwiseXOR(F.col("window") * F.lit(VERTEX)))
+        first = ws.save(first.join(parts.withColumnRenamed("node", "vertex"), "vertex"), "first")
         blocks = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-        wanted = first.join(blocks, "root").select("doc_id", "node", F.col("root").alias("part"), "blocks", "copies")
-        wanted = ws.save(wanted.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "wanted")
+        wanted = first.join(blocks, "root").withColumn("in", F.struct(F.col("root").alias("part"), "window", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
+        wanted = ws.save(wanted.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("copies").alias("copies"), F.min("low").alias("low"), F.collect_list("in").alias("in")), "wanted")  # a set is in three windows at most
         found = docs.join(F.broadcast(wanted) if n_nodes <= 200_000 else wanted.hint("merge"), "doc_id")
-        rows = found.select("node", "part", "blocks", "copies", "block", "text").mapInArrow(_segments(k), "node long, part long, blocks long, copies long, block long, grams binary")
+        grams = found.select("node", "copies", "low", "in", "text").mapInArrow(_segments(k), "node long, copies long, low long, in array<struct<part: long, window: long, blocks: long, block: long>>, grams binary")
+        rows = grams.select("node", "copies", "low", "grams", F.explode("in").alias("in")).select("node", "copies", "low", "grams", "in.*")
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.select("part", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block", "copies", "grams")
+        rows = rows.select("part", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "window", "low", "node", "block", "copies", "grams")
         calls = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_nodes // 500)
         counted = rows.withColumn("call", F.pmod(F.xxhash64("part", "one", "two"), F.lit(calls))).groupBy("call").applyInArrow(_count(percent), "a long, b long, links long")
         counted = ws.save(counted, "counted")

@@ -120,7 +120,7 @@ def _scan(k: int, percent: int, buckets: int):
                 order = np.argsort(bucket, kind="stable")
                 keys, owners, bucket = keys[order], owners[order], bucket[order]
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-                ends = np.append(cut[1:], len(bucket))
+                ends = np.append(cut[1:], len(bucket)) if len(cut) else cut
                 m = len(cut)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *[pa.nulls(m, pa.int64())] * 5, pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([owners[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], schema=_SHUFFLED)
 

@@ -4,11 +4,11 @@ The global order of all n-grams is the order of their 64-bit hashes. It is cut i
 each document's set falls into segments, one per fragment:
 
 1. Candidates. Two sets of at most u n-grams and Jaccard at least t differ in at most
-   D = 2u(1-t)/(1+t) n-grams, so of F = D + 1 + SPARE fragments at least SPARE + 1 hold equal
-   segments. Sets of like size are cut into the same F fragments, and the join is on (size window,
+   D = 2u(1-t)/(1+t) n-grams, so of F = D + 1 + spare fragments at least spare + 1 hold equal
+   segments (spare = D // SPARE_EACH grows with the number of empty segments to expect). Sets of like size are cut into the same F fragments, and the join is on (size window,
    fragment, hash of the segment). A whole segment of some six n-grams must agree, so a passage or
    n-gram that very many documents share makes no hot key; no frequency limit is needed. A set with
-   more than SPARE empty segments is cut once more in another order of the n-grams, and a set for
+   more than `spare` empty segments is cut once more in another order of the n-grams, and a set for
    which that holds in every order also joins by its empty segments: nothing is lost.
 2. Each key's sets are tied by a star to the smallest one, never as all pairs; the connected parts of that
    graph hold every link. Its vertices are (set, size window), so sets of unlike sizes are not chained together.
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from tomeforge.llm.bytesops import NON_SPACE, Words, mix, shingle_sets, slices
 from tomeforge.llm.common import Workspace, connected_components, semi_join
 
-SPARE, ORDERS = 2, 3
+SPARE_EACH, ORDERS = 24, 3
 #: Sets in a block; two blocks meet in one call.
-BLOCK = 256
+BLOCK = 512
 #: N-grams of a fragment when overlaps are counted.
 FRAGMENT = 4096
 
@@ -64,7 +64,8 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple
                 break
             doc = np.array([i for i, _ in todo])
             window = np.array([w for _, w in todo])
-            cuts = width[window] + 1 + SPARE
+            spare = width[window] // SPARE_EACH
+            cuts = width[window] + 1 + spare
             parts = [sets[i] for i in doc] if not order else [np.sort(mix(sets[i] + np.uint64(order * 0x9FB21C651E98DF25 & (1 << 64) - 1))) for i in doc]
             lengths = sizes[doc]
             token = np.concatenate(parts)
@@ -78,7 +79,7 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple
             tag = mix(window[where].astype(np.uint64) * np.uint64(1 << 32) + piece * np.uint64(ORDERS) + np.uint64(order))
             keys.append(mix(total ^ tag ^ (filled.astype(np.uint64) << np.uint64(40))))
             owners.append((nodes[doc] ^ (window * VERTEX))[where])
-            odd = np.flatnonzero(cuts - np.bincount(where, minlength=len(todo)) > SPARE)
+            odd = np.flatnonzero(cuts - np.bincount(where, minlength=len(todo)) > spare)
             if order == ORDERS - 1:
                 for t in odd.tolist():
                     empty = np.setdiff1d(np.arange(cuts[t]), piece[where == t].astype(np.int64)).astype(np.uint64)

@@ -6,20 +6,44 @@ operators that return spans or decisions on single words verify the bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a task works on at once; temporary arrays take up to some 60 times as much.
+SLICE_BYTES = 1 << 20
+#: Longer slices, where fewer and larger groups save more than memory.
+LONG_SLICE_BYTES = 4 << 20
 _R = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_R, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+_HELD: dict[str, Any] = {}
+
+
+def held(token: str, build: Callable[[], Any]) -> Any:
+    """The one large table that a worker keeps from task to task; another one takes its place."""
+    if token not in _HELD:
+        settle()
+        _HELD[token] = build()
+    return _HELD[token]
+
+
+def settle() -> None:
+    """Gives back what earlier tasks of other stages left in a reused worker; called before a task's first batch."""
+    _HELD.clear()
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # a function of glibc only
+        trim(0)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["p"]) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = -(-n // SLICE_BYTES) * SLICE_BYTES
         for key, base in (("p", _R), ("i", _INV)):
             a = np.full(size, base, np.uint64)
             a[0] = 1

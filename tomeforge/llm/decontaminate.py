@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.bytesops import ALNUM, FOLD, Words, flat, slices, window_hashes
+from tomeforge.llm.bytesops import ALNUM, FOLD, Words, flat, settle, slices, window_hashes
 from tomeforge.llm.common import Workspace
 
 WINDOW, SHINGLE = 13, 8
@@ -106,6 +106,7 @@ def _scan(index):
     names = ["row", "doc_id", "n_words", "hits", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         members = {s: Member(k) for s, k in index.value.shingles.items()}
         for batch in batches:
             for i, j, data, off in slices(batch.column(2)):

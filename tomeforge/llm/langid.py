@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.bytesops import FOLD, flat, slices
+from tomeforge.llm.bytesops import FOLD, flat, held, slices
 from tomeforge.llm.common import ship
 
 ORDER = 3
@@ -27,7 +27,6 @@ ALPHABET = 48
 #: Texts a language that the trees are counted on, about; texts longer than SAMPLE_BYTES aren't drawn.
 SAMPLE_TEXTS, SAMPLE_BYTES = 400, 1 << 18
 UNDETERMINED = "und"
-_TABLES: dict[str, np.ndarray] = {}
 
 
 class Model:
@@ -97,17 +96,15 @@ def _predict(shared, token: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if token not in _TABLES:
-            _TABLES.clear()
-            _TABLES[token] = model.table()
+        table = held(f"languages {token}", model.table)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             letter = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            for i, j, data, off in slices(column, 1 << 20):
+            for i, j, data, off in slices(column):
                 if not model.languages:
                     best, score = ["und"] * (j - i), np.zeros(j - i)
                 else:
-                    bits = model.bits(_TABLES[token], data, off)
+                    bits = model.bits(table, data, off)
                     k = bits.argmin(1)
                     score = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
                     best = [model.languages[x] if y else UNDETERMINED for x, y in zip(k.tolist(), letter[i:j].tolist(), strict=True)]

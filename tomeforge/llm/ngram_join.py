@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.bytesops import NON_SPACE, Words, mix, shingle_sets, slices
+from tomeforge.llm.bytesops import LONG_SLICE_BYTES, NON_SPACE, Words, mix, settle, shingle_sets, slices
 from tomeforge.llm.common import Workspace, connected_components, semi_join
 
 SPARE_EACH, ORDERS = 24, 3
@@ -107,9 +107,10 @@ def _scan(k: int, percent: int, buckets: int):
     lows, highs = size_windows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for i, j, data, off in slices(batch.column(1)):
+            for i, j, data, off in slices(batch.column(1), LONG_SLICE_BYTES):
                 sets = shingle_sets(Words(data, off, NON_SPACE), k)
                 node = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
                 home = (node.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
@@ -152,8 +153,9 @@ def _tie(table: pa.Table) -> pa.Table:
 
 def _segments(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
-            for i, j, data, off in slices(batch.column(batch.num_columns - 1)):
+            for i, j, data, off in slices(batch.column(batch.num_columns - 1), LONG_SLICE_BYTES):
                 grams = [s.tobytes() for s in shingle_sets(Words(data, off, NON_SPACE), k)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], pa.array(grams, pa.binary())], names=[*batch.schema.names[:-1], "grams"])
 

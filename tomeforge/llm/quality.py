@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.bytesops import NON_SPACE, Words, byte_class, slices
+from tomeforge.llm.bytesops import NON_SPACE, Words, byte_class, settle, slices
 from tomeforge.llm.common import ship
 from tomeforge.llm.langid import held_out
 
@@ -118,6 +118,7 @@ def _n_chars(column: pa.Array) -> np.ndarray:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    settle()
     for batch in batches:
         for i, j, data, off in slices(batch.column(2)):
             doc, feature, value = features(data, off, _n_chars(batch.column(1))[i:j])
@@ -128,6 +129,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         machine = shared.value
         for batch in batches:
             chars = _n_chars(batch.column(batch.num_columns - 2))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tomeforge.llm.bytesops import byte_class, slices
+from tomeforge.llm.bytesops import LONG_SLICE_BYTES, byte_class, held, slices
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
@@ -22,7 +22,6 @@ VOCABULARY = "word_bpe_49k.json"
 REMEMBERED = 400_000
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _GAP = byte_class((0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D))
-_CODERS: dict[str, Coder] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -106,14 +105,12 @@ class Coder:
 
 
 def coder(path: str) -> Coder:
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    return held(f"coder {path}", lambda: Coder(path))
 
 
 def encoded(column: pa.Array, path: str, end: int | None = END_ID) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, offsets of each row's ids), with the end id after each text."""
-    for i, j, data, off in slices(column):
+    for i, j, data, off in slices(column, LONG_SLICE_BYTES):
         ids, n = coder(path).encode(data, off)
         if end is not None:
             ids = np.insert(ids, np.cumsum(n), end)

@@ -21,10 +21,10 @@ from tomeforge.llm.common import Workspace
 
 #: Edges of a node; reverse edges that take part in a round; least nodes of a starting group, about; rounds.
 DEGREE, REVERSE, GROUP, ROUNDS = 20, 20, 3200, 2
-#: Share of near pairs (at SAME: 60 degrees, as in data without structure) that the starting partitions should bring together.
-START, SAME = 0.9, 2 / 3
+#: Random partitions that the graph starts from.
+TREES = 8
 #: Nodes that a query keeps; nodes that it expands in a step; steps.
-BEAM, EXPAND, STEPS = 64, 20, 2
+BEAM, EXPAND, STEPS = 160, 40, 5
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -54,13 +54,10 @@ def _planes(dim: int, bits: int, trees: int, seed: int):
 
 
 def partitions(n: int) -> tuple[int, int]:
-    """(hyperplanes of a partition, partitions) for n nodes.
-
-    A pair at 60 degrees is on one side of a random hyperplane with probability 2/3, so of t partitions of b
-    planes none holds it together with probability (1 - (2/3)^b)^t. The same rule holds at every size: t grows about as n^0.58.
-    """
+    """(hyperplanes of a partition, partitions) for n nodes: groups keep their size and the partitions their number, so the
+    first graph's rows and distances grow as n. What it misses is left to the rounds of descent and to the search."""
     bits = max(0, math.floor(math.log2(max(1, n / GROUP))))
-    return bits, 1 if not bits else math.ceil(math.log(1 - START) / math.log(1 - SAME**bits))
+    return bits, TREES if bits else 1
 
 
 def _nearest(node: np.ndarray, other: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:

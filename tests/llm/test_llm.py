@@ -63,6 +63,40 @@ def test_size_windows_hold_every_pair():
         assert ((low <= s) & (t <= high)).any()
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_signatures_meet_for_every_link(percent):
+    """Every pair of sets at or over the threshold shares a key, for small, large and sparse sets alike."""
+    rng = np.random.default_rng(percent)
+    sets = []
+    for n in [*range(1, 40), 60, 90, 200, 700] * 8:
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for _ in range(3):
+            new, lost = rng.integers(0, n * (100 - percent) // 130 + 2, 2)
+            sets.append(np.unique(np.append(base[lost:] if lost < n else base, rng.integers(0, 1 << 63, new, dtype=np.uint64))))
+    nodes = np.array([ngram_join.node_of(s) for s in sets], np.int64)
+    held = [set(ngram_join.signatures([s], nodes[i : i + 1], percent)[0].tolist()) for i, s in enumerate(sets)]
+    links = 0
+    for x in range(0, len(sets), 3):
+        for i in range(x, x + 3):
+            for j in range(i + 1, x + 3):
+                same = len(np.intersect1d(sets[i], sets[j]))
+                if nodes[i] != nodes[j] and 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+                    links += 1
+                    assert held[i] & held[j]
+    assert links > 20
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(0)
+    keys, owners = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), np.sort(rng.integers(0, 9, 5000))
+    got = set()
+    for bucket, *blobs in ngram_join.pack_keys(keys, owners, 3):
+        short, own = ngram_join.unpack_keys(*blobs)
+        got |= {(bucket, k, o) for k, o in zip(short.tolist(), own.tolist(), strict=True)}
+    assert got == {(k % 3, k // 3 % (1 << 48), o) for k, o in zip(keys.tolist(), owners.tolist(), strict=True)}
+    assert not list(ngram_join.pack_keys(keys[:0], owners[:0], 3))
+
+
 def test_tokens_and_files(spark, docs, empty):
     from tokenizers import Tokenizer
 

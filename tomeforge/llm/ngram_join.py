@@ -4,12 +4,13 @@ The global order of all n-grams is the order of their 64-bit hashes. It is cut i
 each document's set falls into segments, one per fragment:
 
 1. Candidates. Two sets of at most u n-grams and Jaccard at least t differ in at most
-   D = 2u(1-t)/(1+t) n-grams, so of F = D + 1 + spare fragments at least spare + 1 hold equal
-   segments (spare = D // SPARE_EACH grows with the number of empty segments to expect). Sets of like size are cut into the same F fragments, and the join is on (size window,
-   fragment, hash of the segment). A whole segment of some six n-grams must agree, so a passage or
-   n-gram that very many documents share makes no hot key; no frequency limit is needed. A set with
-   more than `spare` empty segments is cut once more in another order of the n-grams, and a set for
-   which that holds in every order also joins by its empty segments: nothing is lost.
+   D = 2u(1-t)/(1+t) n-grams. Fragments come in groups of SUBS; of G = D // 2 + 1 + spare groups at least spare + 1
+   hold one differing n-gram at most, so that all their segments but one are equal (spare = D // SPARE_EACH grows with
+   the number of empty segments to expect). Sets of like size are cut into the same G groups, and the join is on (size
+   window, group, segment left out, hash of the group's other segments). Some six n-grams must agree, so a passage or
+   n-gram that very many documents share makes no hot key; no frequency limit is needed. A set of which more than
+   `spare` groups have nothing but one segment is cut once more in another order of the n-grams, and a set for
+   which that holds in every order also joins by what is empty: nothing is lost.
 2. Each key's sets are tied by a star to the smallest one, never as all pairs; the connected parts of that
    graph hold every link. Its vertices are (set, size window), so sets of unlike sizes are not chained together.
 3. Within a part, blocks of sets meet pairwise. The n-gram order is cut again, the overlaps are
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tomeforge.llm.bytesops import LONG_SLICE_BYTES, NON_SPACE, Words, mix, settle, shingle_sets, slices
 from tomeforge.llm.common import Workspace, connected_components, semi_join
 
-SPARE_EACH, ORDERS = 24, 3
+SUBS, SPARE_EACH, ORDERS = 3, 12, 3
 #: Sets in a block; two blocks meet in one call.
 BLOCK = 512
 #: N-grams of a fragment when overlaps are counted.
@@ -51,7 +52,7 @@ def size_windows(percent: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, vertex) of each segment of each set in each of its size windows."""
+    """(key, vertex) of each group of segments, leaving out one at a time, of each set in each of its size windows."""
     low, high = size_windows(percent)
     sizes = np.array([len(s) for s in sets], np.int64)
     keys, owners = [], []
@@ -65,27 +66,33 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple
             doc = np.array([i for i, _ in todo])
             window = np.array([w for _, w in todo])
             spare = width[window] // SPARE_EACH
-            cuts = width[window] + 1 + spare
+            groups = width[window] // 2 + 1 + spare
+            cuts = groups * SUBS
             parts = [sets[i] for i in doc] if not order else [np.sort(mix(sets[i] + np.uint64(order * 0x9FB21C651E98DF25 & (1 << 64) - 1))) for i in doc]
             lengths = sizes[doc]
             token = np.concatenate(parts)
-            at = np.repeat(np.arange(len(todo)), lengths)
             fragment = ((token >> np.uint64(32)) * np.repeat(cuts, lengths).astype(np.uint64)) >> np.uint64(32)
-            place = (at.astype(np.uint64) << np.uint64(32)) | fragment
+            place = np.repeat(np.cumsum(cuts) - cuts, lengths) + fragment.astype(np.int64)
             first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-            total = np.add.reduceat(mix(token), first)
-            filled = np.append(first[1:], len(token)) - first
-            where, piece = at[first], fragment[first]
-            tag = mix(window[where].astype(np.uint64) * np.uint64(1 << 32) + piece * np.uint64(ORDERS) + np.uint64(order))
-            keys.append(mix(total ^ tag ^ (filled.astype(np.uint64) << np.uint64(40))))
-            owners.append((nodes[doc] ^ (window * VERTEX))[where])
-            odd = np.flatnonzero(cuts - np.bincount(where, minlength=len(todo)) > spare)
-            if order == ORDERS - 1:
-                for t in odd.tolist():
-                    empty = np.setdiff1d(np.arange(cuts[t]), piece[where == t].astype(np.int64)).astype(np.uint64)
-                    keys.append(mix(mix(np.uint64(window[t]) * np.uint64(1 << 32) + empty) ^ np.uint64(0x6A09E667F3BCC909)))
-                    owners.append(np.full(len(empty), nodes[doc[t]] ^ (window[t] * VERTEX)))
-            todo = [todo[t] for t in odd.tolist()]
+            total, filled = np.zeros(int(cuts.sum()), np.uint64), np.zeros(int(cuts.sum()), np.int64)
+            total[place[first]] = np.add.reduceat(mix(token), first)
+            filled[place[first]] = np.diff(np.append(first, len(token)))
+            total, filled = total.reshape(-1, SUBS), filled.reshape(-1, SUBS)
+            where = np.repeat(np.arange(len(todo)), groups)
+            group = np.arange(len(where)) - np.repeat(np.cumsum(groups) - groups, groups)
+            vertex = (nodes[doc] ^ (window * VERTEX))[where]
+            rest, left = total.sum(1)[:, None] - total, filled.sum(1)[:, None] - filled
+            odd = np.bincount(where[(left == 0).any(1)], minlength=len(todo)) > spare
+            for out in range(SUBS):
+                tag = mix(window[where].astype(np.uint64) * np.uint64(1 << 32) + (group * SUBS + out).astype(np.uint64) * np.uint64(ORDERS) + np.uint64(order))
+                some = left[:, out] > 0
+                keys.append(mix(mix(rest[some, out]) ^ tag[some] ^ (left[some, out].astype(np.uint64) << np.uint64(40))))
+                owners.append(vertex[some])
+                if order == ORDERS - 1:
+                    none = ~some & odd[where]
+                    keys.append(mix(tag[none] ^ np.uint64(0x6A09E667F3BCC909)))
+                    owners.append(vertex[none])
+            todo = [todo[t] for t in np.flatnonzero(odd).tolist()]
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners)
@@ -99,10 +106,35 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_SHUFFLED = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())])
+_SHUFFLED = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("runs", pa.binary())])
 _TIED = "doc_id long, n long, node long, low long, high long, a long, b long"
 
 
+def pack_keys(keys: np.ndarray, owners: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, keys, owners, runs) for each bucket: a key's quotient by the number of buckets in six bytes (longer hashes the more
+    buckets there are; keys that meet by chance only add candidates), each owner once, and how many keys it has, 255 at most."""
+    if not len(keys):
+        return
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((owners, bucket))
+    short, owners, bucket = (keys // np.uint64(buckets))[order], owners[order], bucket[order]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(bucket)).tolist(), strict=True):
+        own = owners[a:b]
+        start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        place = np.arange(b - a) - np.repeat(start, np.diff(np.append(start, b - a)))
+        start = np.flatnonzero(place % 255 == 0)
+        runs = np.diff(np.append(start, b - a)).astype(np.uint8)
+        yield int(bucket[a]), np.ascontiguousarray(short[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), own[start].tobytes(), runs.tobytes()
+
+
+def unpack_keys(keys: bytes, owners: bytes, runs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    short = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, :6] = short
+    return wide.view("<u8").ravel(), np.repeat(np.frombuffer(owners, np.int64), np.frombuffer(runs, np.uint8))
+
+
 def _scan(k: int, percent: int, buckets: int):
     lows, highs = size_windows(percent)
 
@@ -115,16 +147,11 @@ def _scan(k: int, percent: int, buckets: int):
                 node = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
                 home = (node.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 n = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(ids[i:j], pa.int64()), pa.array(n, pa.int64()), pa.array([x if m else None for x, m in zip(node.tolist(), n, strict=True)], pa.int64()), pa.array(np.searchsorted(highs, n, "left")), pa.array(np.searchsorted(lows, n, "right") - 1), pa.nulls(j - i, pa.binary()), pa.nulls(j - i, pa.binary())], schema=_SHUFFLED)
+                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(ids[i:j], pa.int64()), pa.array(n, pa.int64()), pa.array([x if m else None for x, m in zip(node.tolist(), n, strict=True)], pa.int64()), pa.array(np.searchsorted(highs, n, "left")), pa.array(np.searchsorted(lows, n, "right") - 1), *[pa.nulls(j - i, pa.binary())] * 3], schema=_SHUFFLED)
                 _, once = np.unique(node, return_index=True)
                 keys, owners = signatures([sets[x] for x in once], node[once], percent)
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                keys, owners, bucket = keys[order], owners[order], bucket[order]
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-                ends = np.append(cut[1:], len(bucket)) if len(cut) else cut
-                m = len(cut)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *[pa.nulls(m, pa.int64())] * 5, pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([owners[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], schema=_SHUFFLED)
+                packed = list(pack_keys(keys, owners, buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int64()), *[pa.nulls(len(packed), pa.int64())] * 5, *[pa.array([p[c] for p in packed], pa.binary()) for c in (1, 2, 3)]], schema=_SHUFFLED)
 
     return run
 
@@ -135,8 +162,7 @@ def _tie(table: pa.Table) -> pa.Table:
 
     docs = table.filter(pc.is_valid(table["n"])).select(["doc_id", "n", "node", "low", "high"])
     blobs = table.filter(pc.is_valid(table["keys"]))
-    keys = np.frombuffer(b"".join(blobs["keys"].to_pylist()), np.uint64)
-    owners = np.frombuffer(b"".join(blobs["owners"].to_pylist()), np.int64)
+    keys, owners = unpack_keys(*(b"".join(blobs[c].to_pylist()) for c in ("keys", "owners", "runs")))
     order = np.argsort(keys, kind="stable")
     keys, owners = keys[order], owners[order]
     a = b = np.zeros(0, np.int64)
@@ -238,7 +264,7 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 4, percent: int = 85, text
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume // (20 << 20)) + 1)  # each holds some 20 MB of keys
-    scanned = docs.mapInArrow(_scan(k, percent, buckets), "bucket long, doc_id long, n long, node long, low long, high long, keys binary, owners binary")
+    scanned = docs.mapInArrow(_scan(k, percent, buckets), "bucket long, doc_id long, n long, node long, low long, high long, keys binary, owners binary, runs binary")
     tied = ws.save(scanned.groupBy("bucket").applyInArrow(_tie, _TIED), "tied")
     sets = tied.filter("n is not null").select("doc_id", "n", "node")
     edges = tied.filter("a is not null").select("a", "b")

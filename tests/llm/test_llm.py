@@ -232,3 +232,14 @@ def test_nearest_neighbours(spark):
     assert set(out.query_id) == set(range(0, 600, 50)) and good / (5 * 12) >= 0.9
     assert out[out.query_id == 50].sort_values("rank").vec_id.tolist() == [100, 101, 102, 103, 104]
     assert ann.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_walk_goes_to_its_end(spark):
+    """On a chain of nodes that only know the next ones the nearest is many steps away."""
+    n = 10
+    x = [[float(np.cos(i / n)), float(np.sin(i / n))] for i in range(n)]
+    nodes = spark.createDataFrame(list(enumerate(x)), "node long, vector array<float>")
+    graph = spark.createDataFrame([(i, j, 0.0) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n], "node long, other long, near float")
+    asked = spark.createDataFrame([(7, x[-1], 0)], "query_id long, from array<float>, node long")
+    found = ann.search_graph(ann.Workspace(spark, "walk-test"), graph, nodes, asked).orderBy("score").toPandas()
+    assert found.node.tolist() == list(range(n))

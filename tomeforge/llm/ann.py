@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 
 from tomeforge.llm.common import Workspace
 
-#: Edges of a node; reverse edges that take part in a round; least nodes of a starting group, about; rounds.
-DEGREE, REVERSE, GROUP, ROUNDS = 20, 20, 3200, 2
+#: Edges of a node; reverse edges that take part in a round; least nodes of a starting group, about.
+DEGREE, REVERSE, GROUP = 20, 20, 3200
+#: Descent ends after a round that changed less than this share of the edges.
+CHANGED = 0.001
 #: Random partitions that the graph starts from.
 TREES = 8
-#: Nodes that a query keeps; nodes that it expands in a step; steps.
-BEAM, EXPAND, STEPS = 160, 40, 5
+#: Nodes that a query keeps; nodes that it expands in a step. A walk ends when no node that it keeps is unexpanded.
+BEAM, EXPAND = 160, 40
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -130,8 +133,8 @@ def _best(edges: DataFrame, k: int, calls: int) -> DataFrame:
     return keyed.groupBy("call").applyInArrow(_keep(k), _EDGES + ", fresh boolean")
 
 
-def build_graph(ws: Workspace, nodes: DataFrame, dim: int, n: int, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
-    """(node, other, near): each node's nearest found; nodes: (node, vector), n rows."""
+def build_graph(ws: Workspace, nodes: DataFrame, dim: int, n: int, degree: int = DEGREE, changed: float = CHANGED, seed: int = 3) -> DataFrame:
+    """(node, other, near): each node's nearest found; nodes: (node, vector), n rows. Rounds go on as long as they change enough edges."""
     calls = max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), n // 2000)
     bits, trees = partitions(n)
     coded = ws.save(nodes.mapInArrow(_planes(dim, bits, trees, seed), "node long, vector array<float>, tree long, code long"), "coded")
@@ -140,7 +143,7 @@ def build_graph(ws: Workspace, nodes: DataFrame, dim: int, n: int, degree: int =
     call = F.pmod(F.col("group"), F.lit(calls))
     found = grouped.select("group", "node", "vector").withColumn("call", call).groupBy("call").applyInArrow(_meet(degree * 3 // 5, True), _EDGES)
     edges = ws.save(_best(found.withColumn("fresh", F.lit(True)), degree, calls), "edges-0")
-    for step in range(1, rounds + 1):
+    for step in count(1):
         worst = edges.groupBy("node").agg(F.min("near").alias("worst"), F.count(F.lit(1)).alias("n"))
         worst = worst.select("node", F.when(F.col("n") < degree, -2.0).otherwise(F.col("worst")).cast("float").alias("worst"))
         back = edges.select(F.col("other").alias("group"), "node", "fresh")
@@ -153,7 +156,9 @@ def build_graph(ws: Workspace, nodes: DataFrame, dim: int, n: int, degree: int =
         met = members.join(held, "node").withColumn("call", F.pmod(F.xxhash64("group"), F.lit(calls))).groupBy("call").applyInArrow(_meet(degree, False), _EDGES)
         both = edges.withColumn("fresh", F.lit(False)).unionByName(met.withColumn("fresh", F.lit(True)))
         edges = ws.save(_best(both, degree, calls), f"edges-{step}")
-        if not edges.filter("fresh").limit(1).count():
+        ws.drop(f"edges-{step - 1}")
+        total, new = edges.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
+        if new <= changed * total:
             break
     return edges.select("node", "other", "near")
 
@@ -164,18 +169,21 @@ def _cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), pa.array((a * b).sum(1))], names=["query_id", "node", "score"])
 
 
-def search_graph(ws: Workspace, graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """(query_id, node, score): the beam after the last step; queries: (query_id, from, node), node being where the walk starts."""
+def search_graph(ws: Workspace, graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
+    """(query_id, node, score): the beam once all its nodes are expanded; queries: (query_id, from, node), node being where the walk starts."""
     scored = lambda pairs: pairs.join(queries.select("query_id", "from"), "query_id").join(nodes, "node").select("query_id", "node", "from", "vector").mapInArrow(_cosine, "query_id long, node long, score double")
     seen = ws.save(scored(queries.select("query_id", "node")).withColumn("open", F.lit(True)), "walk-0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("open"), F.desc("score"), "node"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))
-    for step in range(1, steps + 1):
+    for step in count(1):
         marked = seen.withColumn("expand", F.col("open") & (rank <= EXPAND))
         ahead = marked.filter("expand").select("query_id", "node").join(graph.select("node", "other"), "node").select("query_id", F.col("other").alias("node")).distinct()
         ahead = ahead.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")
         both = marked.select("query_id", "node", "score", (F.col("open") & ~F.col("expand")).alias("open")).unionByName(scored(ahead).withColumn("open", F.lit(True)))
         seen = ws.save(both.withColumn("best", best).filter(F.col("best") <= beam).drop("best"), f"walk-{step}")
+        ws.drop(f"walk-{step - 1}")
+        if not seen.filter("open").limit(1).count():
+            break
     return seen.select("query_id", "node", "score")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -243,3 +244,21 @@ def test_walk_goes_to_its_end(spark):
     asked = spark.createDataFrame([(7, x[-1], 0)], "query_id long, from array<float>, node long")
     found = ann.search_graph(ann.Workspace(spark, "walk-test"), graph, nodes, asked).orderBy("score").toPandas()
     assert found.node.tolist() == list(range(n))
+
+
+def test_licences_in_long_lines_and_wrapped(spark):
+    """Each template is found within a line of 200 words and wrapped at 60 columns, once."""
+    rng, rows = random.Random(2), []
+    for f, ts in licences.TEMPLATES.items():
+        for t in ts:
+            prose = [rng.choice(["river", "the", "house", "of", "and", "green", "a", "walked", "morning", "seven"]) for _ in range(200)]
+            line = " ".join(prose[:90] + [t] + prose[90:])
+            rows += [(len(rows), line, f), (len(rows) + 1, textwrap.fill(line, 60), f)]
+    out = {r.doc_id: (r.families, r.n_notices) for r in licences.licence_notices(spark.createDataFrame(rows, "doc_id long, text string, f string")).collect()}
+    assert {i: out[i] for i, _, f in rows} == {i: (f, 1) for i, _, f in rows}
+
+
+def test_licence_copies_and_keywordless_notices(spark):
+    rows = [(1, "Released under the MIT License.\n" * 3), (2, "Released under CC0 1.0."), (3, "Distributed under the GPL v3."), (4, "the mit campus is under the hill of the public license fee")]
+    out = {r.doc_id: (r.families, r.n_notices) for r in licences.licence_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: ("mit", 3), 2: ("cc0", 1), 3: ("gpl", 1), 4: ("", 0)}

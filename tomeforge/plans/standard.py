@@ -29,6 +29,13 @@ register(
     """with t as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') w from benchmark)
     select item_id, term, count(*) as tf, max(dl)::bigint as dl from (select item_id, len(w) dl, unnest(w) term from t) group by all""",
 )
+#: The index of the documents.
+register(
+    "document_postings",
+    lambda s, d: search.postings(table(s, d, "documents"), "doc_id", "text").select("doc_id", "term", "tf", F.col("dl").cast("long").alias("dl")),
+    """with t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') w from documents)
+    select doc_id, term, count(*) as tf, max(dl)::bigint as dl from (select doc_id, len(w) dl, unnest(w) term from t) group by all""",
+)
 register(
     "running_total",
     lambda s, d: relational.running_total(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], ["l_linenumber", "l_quantity"], "l_quantity", "cumulative"),
@@ -66,6 +73,12 @@ register(
     lambda s, d: relational.either_key_join(table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), table(s, d, "supplier").filter("s_suppkey <= 50").select("s_suppkey", "s_name"), "l_partkey", "l_suppkey", "s_suppkey", ["l_orderkey", "s_name"]),
     "select distinct l_orderkey, s_name from lineitem, supplier where s_suppkey <= 50 and (l_partkey = s_suppkey or l_suppkey = s_suppkey)",
 )
+#: Over all suppliers; either_key_join above keeps its filter, as its SQL has it.
+register(
+    "either_key_join_all",
+    lambda s, d: relational.either_key_join(table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), table(s, d, "supplier").select("s_suppkey", "s_name"), "l_partkey", "l_suppkey", "s_suppkey", ["l_orderkey", "s_name"]),
+    "select l_orderkey, s_name from lineitem join supplier on l_partkey = s_suppkey union select l_orderkey, s_name from lineitem join supplier on l_suppkey = s_suppkey",
+)
 register(
     "freshness",
     lambda s, d: relational.freshness(table(s, d, "orders").select("o_custkey", "o_orderdate").groupBy("o_custkey").agg(F.max("o_orderdate").alias("stamp")), table(s, d, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max("o_orderdate").alias("stamp")), "o_custkey", "stamp"),

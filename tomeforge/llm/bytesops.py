@@ -113,6 +113,50 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """A hash, never 0, of each range of bytes; where fold is set, A-Z lowered."""
+    power, inverse = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    h = np.empty(len(start), np.uint64)
+    for values, which in ((_FOLDED_VALUE, fold), (_VALUE, ~fold)):
+        np.cumsum(values[data] * power[: len(data)], out=total[1:])
+        a, b = start[which], end[which]
+        h[which] = (total[b] - total[a]) * inverse[a]
+    return np.maximum(mix(h + (end - start).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)), np.uint64(1))
+
+
+class Lookup:
+    """Places of numbers in a list of distinct ones, by an open table; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+        keys, todo = keys.astype(np.uint64), np.arange(len(keys))
+        slot = self._home(keys)
+        while len(todo):
+            free = todo[self.place[slot[todo]] < 0]
+            self.place[slot[free]] = free  # of those that want one slot the last gets it
+            won = self.place[slot[todo]] == todo
+            self.keys[slot[todo[won]]] = keys[todo[won]]
+            todo = todo[~won]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(_R)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.astype(np.uint64)
+        slot = self._home(keys)
+        out = self.place[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            out[todo] = self.place[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[slot[todo]] != keys[todo])]
+        return out
+
+
 class Words:
     """Words of a slice: start and end byte, doc (row in the slice), count and first word of each doc."""
 

@@ -1,8 +1,8 @@
 """Token ids in files of canonical length-limited Huffman codes.
 
 A file (all numbers little-endian): MAGIC; u64 documents, tokens, blocks, vocabulary, bits; u8 code length
-of each vocabulary id; i64 doc_id and u32 tokens of each document in ascending doc_id; u64 bit offset of
-each block; the code bits, most significant first in bytes, with 4 bytes of padding. A block is BLOCK ids
+of each vocabulary id; i64 doc_id, u8 whether it is null (then it is 0; nulls come first), and u32 tokens of each document in ascending
+doc_id; u64 bit offset of each block; the code bits, most significant first in bytes, with 4 bytes of padding. A block is BLOCK ids
 and is decoded from its offset alone, so all blocks of a file are decoded side by side through one table.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tomeforge.llm.common import Workspace
 from tomeforge.llm.tokens import encoded, vocabulary_path, vocabulary_size
 
-MAGIC, BLOCK, CHUNK = b"TFHUF1\0\0", 1024, 1 << 20
+MAGIC, BLOCK, CHUNK = b"TFHUF2\0\0", 1024, 1 << 20
 #: Longest code; 2**LIMIT codes must hold the vocabulary, and the decoding table has that many rows.
 LIMIT = 16
 
@@ -65,7 +65,7 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def write_file(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> bytes:
+def write_file(doc_ids: np.ndarray, null: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> bytes:
     codes, bits = canonical_codes(lengths), 0
     marks, words, carry = [], [], 0
     for a in range(0, len(ids), CHUNK):
@@ -88,18 +88,19 @@ def write_file(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths:
     words.append(np.array([carry, 0], ">u4"))
     block = np.concatenate(marks).astype("<u8") if marks else np.zeros(0, "<u8")
     head = struct.pack("<5Q", len(doc_ids), len(ids), len(block), len(lengths), bits)
-    return b"".join([MAGIC, head, lengths.tobytes(), doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), block.tobytes(), *(w.tobytes() for w in words)])
+    return b"".join([MAGIC, head, lengths.tobytes(), doc_ids.astype("<i8").tobytes(), null.astype(np.uint8).tobytes(), sizes.astype("<u4").tobytes(), block.tobytes(), *(w.tobytes() for w in words)])
 
 
-def read_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, tokens of each, all ids) of a file."""
+def read_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc ids, which are null, tokens of each, all ids) of a file."""
     if raw[:8] != MAGIC:
         raise ValueError("not a file of this format")
     docs, tokens, blocks, vocabulary, _ = struct.unpack_from("<5Q", raw, 8)
     at = 48
     lengths = np.frombuffer(raw, np.uint8, vocabulary, at)
     doc_ids = np.frombuffer(raw, "<i8", docs, at := at + vocabulary)
-    sizes = np.frombuffer(raw, "<u4", docs, at := at + 8 * docs).astype(np.int64)
+    null = np.frombuffer(raw, np.uint8, docs, at := at + 8 * docs).astype(bool)
+    sizes = np.frombuffer(raw, "<u4", docs, at := at + docs).astype(np.int64)
     place = np.frombuffer(raw, "<u8", blocks, at := at + 4 * docs).astype(np.int64)
     payload = np.frombuffer(raw, np.uint8, offset=at + 8 * blocks)
     limit = max(1, int(lengths.max(initial=0)))
@@ -122,18 +123,20 @@ def read_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         code = (window[place >> 3] >> (32 - limit - (place & 7)).astype(np.uint32)) & np.uint32((1 << limit) - 1)
         out[i, :lanes] = symbol[code]
         place = place + step[code]
-    return doc_ids, sizes, out.T.reshape(-1)[:tokens]
+    return doc_ids, null, sizes, out.T.reshape(-1)[:tokens]
 
 
 def _encode(path: str, kind: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 33  # of a row in the table that is written: tells rows of one doc_id apart
         for batch in batches:
             for i, j, ids, off in encoded(batch.column(1), path):
                 raw, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
                 parts = [raw[width * a : width * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(off)), pa.array(parts, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(place + np.arange(j - i)), pa.array(np.diff(off)), pa.array(parts, pa.binary())], schema=schema)
+                place += j - i
 
     return run
 
@@ -158,14 +161,15 @@ def _write(folder: str, lengths: np.ndarray, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        task, keys, sizes, ids = TaskContext.get(), [], [], []
+        task, keys, null, sizes, ids = TaskContext.get(), [], [], [], []
         for batch in batches:
-            keys.append(batch.column(0).to_numpy())
+            keys.append(batch.column(0).fill_null(0).to_numpy())
+            null.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
             sizes.append(batch.column(1).to_numpy())
             ids.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), kind))
         if not keys or not sum(map(len, keys)):
             return
-        raw = write_file(np.concatenate(keys), np.concatenate(sizes), np.concatenate(ids), lengths)
+        raw = write_file(np.concatenate(keys), np.concatenate(null), np.concatenate(sizes), np.concatenate(ids), lengths)
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         name = f"part-{task.partitionId():08d}.tfh"
@@ -181,32 +185,32 @@ def _write(folder: str, lengths: np.ndarray, kind: str):
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            doc_ids, sizes, ids = read_file(raw.as_py())
+            doc_ids, null, sizes, ids = read_file(raw.as_py())
             end = np.cumsum(sizes)
             data = memoryview(ids.astype("<u4").tobytes())
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((end - sizes).tolist(), end.tolist(), strict=True)]
             n = len(doc_ids)
-            yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]] * n), pa.array(doc_ids), pa.array(end - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["file", "doc_id", "within", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]] * n), pa.array(doc_ids, mask=null), pa.array(end - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["file", "doc_id", "within", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(documents: DataFrame, folder: str, tokenizer: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Writes the ids of all documents to files in folder, in ascending doc_id over the files in order of name.
 
-    Returns file, tokens, bytes of each file. A null or empty text is the end id alone; a null doc_id is an error, since the
-    format has none; repeated rows are written each for itself; an empty table writes no file.
+    Returns file, tokens, bytes of each file. A null or empty text is the end id alone; documents with a null doc_id come first
+    and are marked in the format; rows of one doc_id are written each for itself, in the order of the table; an empty table writes no file.
     """
     spark, path = documents.sparkSession, tokenizer or vocabulary_path()
     ws, size = Workspace(spark, "huffman"), vocabulary_size(path)
     kind = "<u2" if size <= 1 << 16 else "<u4"
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ids = ws.save(docs.mapInArrow(_encode(path, kind), "doc_id long, n long, ids binary"), "ids")
+    ids = ws.save(docs.mapInArrow(_encode(path, kind), "doc_id long, place long, n long, ids binary"), "ids")
     counts = np.zeros(size, np.int64)
     for i, n in ids.select("ids").mapInArrow(_tally(size, kind), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n  # at most one row for each id of the vocabulary
     lengths = code_lengths(counts, max(LIMIT, (size - 1).bit_length()))
     tokens = int(counts.sum())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // 4_000_000 + 1)
-    ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = ids.repartitionByRange(parts, "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "n", "ids")
     return ws.save(ordered.mapInArrow(_write(folder, lengths, kind), "file string, tokens long, bytes long"), "files")
 
 

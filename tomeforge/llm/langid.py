@@ -1,10 +1,11 @@
 """Language identification by prediction by partial matching.
 
-For each language a context tree of byte contexts of up to ORDER bytes is counted. A byte's probability is its
+For each language a tree of byte contexts of up to ORDER bytes (A-Z lowered) is counted. A byte's probability is its
 share in the longest context in which it was seen, times the escape probability of each longer
-context (escape count: distinct bytes seen there, method C). The statistics are frozen after training, so
-a text's exact code length under a language is a sum over its bytes of a value that depends on the
-byte and the ORDER bytes before it; that value is tabulated once for each language.
+context (escape count: distinct bytes seen there, method C); below the empty context all 256 bytes are alike. The statistics are
+frozen after training, so a text's exact code length under a language is a sum over its bytes of a value that depends on the
+byte and the ORDER bytes before it. These values are kept for what was seen in any language, by order; a byte unseen in its
+context adds the context's escape and looks one order lower.
 """
 
 from __future__ import annotations
@@ -18,99 +19,152 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.bytesops import FOLD, flat, held, slices
+from tomeforge.llm.bytesops import FOLD, Lookup, flat, held, settle, slices
 from tomeforge.llm.common import ship
 
 ORDER = 3
-#: Byte classes: the commonest bytes of the sample (A-Z lowered) each, and one for all others, coded evenly within.
-ALPHABET = 48
-#: Texts a language that the trees are counted on, about; texts longer than SAMPLE_BYTES aren't drawn.
-SAMPLE_TEXTS, SAMPLE_BYTES = 400, 1 << 18
+#: Texts a language that the trees are counted on, about; each is taken whole.
+SAMPLE_TEXTS = 400
+#: A text is accepted up to this many times the bits a byte that the language's own texts need under trees counted
+#: on others of its texts, and so many bits more.
+EXCESS, SPARE_BITS = 1.1, 256
+#: Bytes whose costs are looked up at once.
+CHUNK = 1 << 20
 UNDETERMINED = "und"
+_COUNTS = "lang string, half int, code long, n long"
+
+
+def codes(data: np.ndarray, off: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Of each of the bytes a to b: it and the ORDER before it as one number; blanks stand before a text."""
+    out = FOLD[data[a:b]].astype(np.uint32)
+    heads = off[:-1]
+    heads = heads[(heads > a - ORDER) & (heads < b)]
+    for k in range(1, ORDER + 1):
+        before = np.full(b - a, 32, np.uint32)
+        skip = max(0, k - a)
+        before[skip:] = FOLD[data[a + skip - k : b - k]]
+        for j in range(k):  # bytes of the text before
+            at = heads + j - a
+            before[at[(at >= 0) & (at < b - a)]] = 32
+        out |= before << np.uint32(8 * k)
+    # a text shorter than ORDER ends before its head's shadow does: what follows is a head of its own
+    return out
 
 
 class Model:
-    """languages (sorted), byte classes, and for each language and order the seen (code, count) pairs."""
-
-    def __init__(self, texts: list[tuple[str, str]]):
-        self.languages = sorted({lang for lang, _ in texts})
-        raw = {lang: [FOLD[np.frombuffer(t.encode(), np.uint8)] for x, t in texts if x == lang] for lang in self.languages}
-        every = np.bincount(np.concatenate([x for r in raw.values() for x in r] or [np.zeros(0, np.uint8)]), minlength=256)
-        every[32] += 1 << 40  # the blank stands before each text
-        common = np.argsort(-every, kind="stable")[: ALPHABET - 1]
-        self.classes = np.full(256, ALPHABET - 1, np.int32)
-        self.classes[common] = np.arange(len(common))
-        self.classes = self.classes[FOLD]
+    """languages (sorted), and of each the (code, count) pairs of the longest contexts; bounds: the most bits a byte to accept."""
+
+    def __init__(self, counts: dict[str, dict[int, int]], bounds: dict[str, float] | None = None):
+        self.languages = sorted(counts)
         self.seen = []
         for lang in self.languages:
-            code = np.concatenate([self.codes(self.classes[x], np.array([0, len(x)])) for x in raw[lang]])
-            self.seen.append([np.unique(code % ALPHABET ** (k + 1), return_counts=True) for k in range(ORDER + 1)])
-
-    @staticmethod
-    def codes(classes: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Of each byte: it and the ORDER before it as one number; blanks stand before a text."""
-        out, n = classes.astype(np.int32), len(classes)
-        head = off[:-1]
-        for k in range(1, ORDER + 1):
-            before = np.zeros(n, np.int32)
-            before[k:] = classes[:-k] if k < n else before[k:]
-            for j in range(k):
-                at = head + j
-                before[at[at < off[1:]]] = 0
-            out += before * ALPHABET**k
-        return out
+            code = np.array(sorted(counts[lang]), np.uint32)
+            self.seen.append((code, np.array([counts[lang][int(c)] for c in code], np.int64)))
+        self.bounds = np.array([(bounds or {}).get(lang, 8.0) for lang in self.languages])
 
     def digest(self) -> str:
-        parts = [repr(self.languages).encode(), self.classes.tobytes(), *(a.tobytes() for s in self.seen for pair in s for a in pair)]
+        parts = [repr(self.languages).encode(), self.bounds.tobytes(), *(a.tobytes() for pair in self.seen for a in pair)]
         return hashlib.sha256(b"".join(parts)).hexdigest()
 
-    def table(self) -> np.ndarray:
-        """Bits of each (context, byte) under each language."""
-        out = np.empty((ALPHABET ** (ORDER + 1), len(self.languages)), np.float32)
-        for x, seen in enumerate(self.seen):
-            p = np.full(ALPHABET, 1 / 256)
-            p[-1] = (256 - ALPHABET + 1) / 256
-            for k, (code, count) in enumerate(seen):
-                n = np.zeros(ALPHABET ** (k + 1))
-                n[code] = count
-                n = n.reshape(-1, ALPHABET)
-                total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-                known = total + kinds
-                lower = np.tile(p.reshape(-1, ALPHABET), (len(n) // (p.size // ALPHABET), 1))
-                p = np.where(n > 0, n / np.maximum(known, 1), np.where(known > 0, kinds / np.maximum(known, 1), 1) * lower)
-            out[:, x] = -np.log2(p.reshape(-1))
+    def tables(self) -> list[tuple[Lookup, np.ndarray, Lookup, np.ndarray]]:
+        """By order: the codes seen in any language and their bits, the contexts and the bits of their escape, under each language."""
+        out, lower_codes, lower = [], np.zeros(1, np.uint32), np.full((1, len(self.languages)), 1 / 256)
+        for k in range(ORDER + 1):
+            mask = np.uint32((1 << 8 * (k + 1)) - 1)
+            union = np.unique(np.concatenate([c & mask for c, _ in self.seen]))
+            n = np.zeros((len(union), len(self.languages)))
+            for x, (code, count) in enumerate(self.seen):
+                np.add.at(n[:, x], np.searchsorted(union, code & mask), count)
+            context, at = np.unique(union >> np.uint32(8) if k else np.zeros(len(union), np.uint32), return_inverse=True)
+            total, kinds = np.zeros((2, len(context), len(self.languages)))
+            np.add.at(total, at, n)
+            np.add.at(kinds, at, n > 0)
+            known = total + kinds
+            escape = np.where(known > 0, kinds / np.maximum(known, 1), 1.0)
+            # a code of this order is longer by one byte in front than one of the order below; the context's first byte goes
+            below = lower[np.searchsorted(lower_codes, union & np.uint32(mask >> 8)) if k else np.zeros(len(union), np.int64)]
+            p = np.where(n > 0, n / np.maximum(known[at], 1), escape[at] * below)
+            out.append((Lookup(union), -np.log2(p).astype(np.float32), Lookup(context), -np.log2(escape).astype(np.float32)))
+            lower_codes, lower = union, p
         return out
 
-    def bits(self, table: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def bits(self, tables, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Exact code lengths of each text under each language."""
         total = np.zeros((len(off) - 1, len(self.languages)))
-        filled = np.flatnonzero(np.diff(off))
-        if len(filled):
-            cost = table[self.codes(self.classes[data], off)]
-            total[filled] = np.add.reduceat(cost, off[filled], axis=0, dtype=np.float64)
+        for a in range(0, len(data), CHUNK):
+            b = min(a + CHUNK, len(data))
+            code = codes(data, off, a, b)
+            cost, todo = np.zeros((b - a, len(self.languages)), np.float32), np.arange(b - a)
+            for k in range(ORDER, -1, -1):
+                known, bits, contexts, escape = tables[k]
+                now = code[todo] & np.uint32((1 << 8 * (k + 1)) - 1)
+                at = known.find(now)
+                hit = at >= 0
+                cost[todo[hit]] += bits[at[hit]]
+                todo, now = todo[~hit], now[~hit]
+                if not len(todo):
+                    break
+                at = contexts.find(now >> np.uint32(8) if k else np.zeros(len(now), np.uint32))
+                cost[todo[at >= 0]] += escape[at[at >= 0]]
+            cost[todo] += 8  # below the empty context
+            inner = off[(off > a) & (off < b)]
+            first = np.unique(np.append(a, inner))
+            np.add.at(total, np.searchsorted(off, first, "right") - 1, np.add.reduceat(cost, first - a, axis=0, dtype=np.float64))
         return total
 
 
 def _predict(shared, token: str):
-    names = ["lang_pred", "score"]
+    names = ["lang_pred", "score", "accepted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        table = held(f"languages {token}", model.table)
+        tables = held(f"languages {token}", model.tables) if model.languages else None
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             letter = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             for i, j, data, off in slices(column):
-                if not model.languages:
-                    best, score = ["und"] * (j - i), np.zeros(j - i)
+                if tables is None:
+                    best, score, good = [UNDETERMINED] * (j - i), np.zeros(j - i), np.zeros(j - i, bool)
                 else:
-                    bits = model.bits(table, data, off)
+                    bits = model.bits(tables, data, off)
                     k = bits.argmin(1)
                     score = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
                     best = [model.languages[x] if y else UNDETERMINED for x, y in zip(k.tolist(), letter[i:j].tolist(), strict=True)]
                     score = np.where(letter[i:j], score, 0.0)
+                    good = letter[i:j] & (bits.min(1) <= EXCESS * model.bounds[k] * np.diff(off) + SPARE_BITS)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(best, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(best, pa.string()), pa.array(score), pa.array(good)], names=[*batch.schema.names[:-1], *names])
+
+    return run
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, half, code, n) of a task's texts; the halves are counted apart."""
+    settle()
+    found: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        lang, half = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, _, data, off in slices(batch.column(2), 1):  # one text at a time
+            for a in range(0, len(data), CHUNK):
+                found.setdefault((lang[i], half[i]), []).append(np.unique(codes(data, off, a, min(a + CHUNK, len(data))), return_counts=True))
+    for (lang, half), parts in found.items():
+        code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(np.full(len(code), half, np.int32)), pa.array(code.astype(np.int64)), pa.array(n)], names=["lang", "half", "code", "n"])
+
+
+def _rates(shared):
+    """Bits a byte of each text under its own language's trees of the other half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [(m, m.tables() if m.languages else None) for m in shared.value]
+        for batch in batches:
+            lang, half = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, _, data, off in slices(batch.column(2), 1):
+                model, tables = models[1 - half[i]]
+                if tables is not None and lang[i] in model.languages and len(data) >= 64:
+                    rate = model.bits(tables, data, off)[0, model.languages.index(lang[i])] / len(data)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang[i]]), pa.array([rate])], names=["lang", "rate"])
 
     return run
 
@@ -120,33 +174,46 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
 
 
 def train(documents: DataFrame, folds: int = 4, fold: int = 2, texts: int = SAMPLE_TEXTS, text: str = "text", key: str = "doc_id", lang: str = "lang") -> Model:
-    """From at most about `texts` texts of each language, drawn by a hash of the key from all outside the held-out fold."""
-    rows = documents.filter(~held_out(F.col(key), folds, fold) & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES))
+    """From at most about `texts` texts of each language, drawn by a hash of the key from all outside the held-out fold. Their bytes are
+    counted where they are; what reaches the driver is one row for each seen code of each language."""
+    spark = documents.sparkSession
+    ship(spark)
+    rows = documents.filter(~held_out(F.col(key), folds, fold) & F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # one row for each language
     if not counts:
-        return Model([])
+        return Model({})
     step = F.create_map(*[F.lit(x) for pair in ((k, max(1, n // texts)) for k, n in counts.items()) for x in pair])
     drawn = rows.filter(F.pmod(F.xxhash64(F.col(key)), F.element_at(step, F.col(lang))) == 0)
-    return Model([tuple(r) for r in drawn.select(lang, text).collect()])
+    drawn = drawn.select(F.col(lang).cast("string").alias("lang"), F.pmod(F.hash(F.col(text)), F.lit(2)).alias("half"), F.col(text).alias("text"))
+    every: dict[str, dict[int, int]] = {}
+    halves: list[dict[str, dict[int, int]]] = [{}, {}]
+    for name, half, code, n in drawn.mapInArrow(_count, _COUNTS).groupBy("lang", "half", "code").agg(F.sum("n")).collect():
+        halves[half].setdefault(name, {})[code] = n
+        own = every.setdefault(name, {})
+        own[code] = own.get(code, 0) + n
+    shared = spark.sparkContext.broadcast([Model(h) for h in halves])
+    bounds = {r[0]: r[1] for r in drawn.mapInArrow(_rates(shared), "lang string, rate double").groupBy("lang").agg(F.max("rate")).collect()}
+    return Model(every, bounds)
 
 
 def identify(documents: DataFrame, model: Model, columns: tuple[str, ...] = (), text: str = "text") -> DataFrame:
-    """The given columns and lang_pred, score of each row.
+    """The given columns and lang_pred, score, accepted of each row.
 
     lang_pred is the language of the shortest code (ties: the first by name), score its share of 2 ** -bits over all
-    languages; a null text, or one without any letter, is `und` with score 0, as is every text without trained languages.
+    languages; accepted says whether the code is short enough for a text of that language (EXCESS, SPARE_BITS). A null text, or one
+    without any letter, is `und` with score 0 and not accepted, as is every text without trained languages.
     Repeated rows are judged each for itself; an empty table gives no rows.
     """
     spark = documents.sparkSession
     ship(spark)
     own = documents.select(*columns, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in own.dtypes[:-1]), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in own.dtypes[:-1]), "lang_pred string, score double, accepted boolean"])
     token = model.digest()
     return own.mapInArrow(_predict(spark.sparkContext.broadcast(model), token), schema)
 
 
 def language_id(documents: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row of documents, by a model trained on the rows that aren't held out.
+    """doc_id, held_out, lang_pred, score, accepted of each row of documents, by a model trained on the rows that aren't held out.
 
     A null doc_id isn't held out. Other edge cases are those of identify.
     """

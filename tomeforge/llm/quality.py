@@ -142,7 +142,7 @@ def _score(shared):
 
 
 def _chars(documents: DataFrame):
-    return F.col("n_chars").cast("long") if "n_chars" in documents.columns else F.lit(None).cast("long")
+    return F.col("n_chars").try_cast("long") if "n_chars" in documents.columns else F.lit(None).cast("long")
 
 
 def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, texts: int = LEARN_TEXTS) -> Machine:

@@ -7,6 +7,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tomeforge.llm import ann, decontaminate, huffman, langid, licences, ngram_join, packing, quality, sharding, tokens, url_filter
@@ -57,6 +58,54 @@ def test_ngram_join(docs, empty):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
 
 
+def brute_join(rows, k, percent):
+    """(set size, component, links) of each row, and its component's first row, by comparing all pairs."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) for _, t in rows]
+    sets = [{tuple(w)} if 0 < len(w) < k else {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in words]
+    root, links = list(range(len(rows))), [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(len(rows)):
+            i, u = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a != b and u and 100 * i >= percent * u:
+                links[a] += 1
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    least = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in root}
+    return [(rows[i][0], len(sets[i]), least[root[i]], links[i]) for i in range(len(rows))], root
+
+
+@pytest.mark.parametrize(("k", "percent", "broadcast"), [(4, 85, 1_000_000), (5, 80, 0)])
+def test_ngram_join_with_repeated_and_null_ids(spark, monkeypatch, k, percent, broadcast):
+    """Ids that repeat over different texts, null ids, exact copies, repeated rows, a large near-copy group over several blocks."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(k)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base, other = [word() for _ in range(120)], [word() for _ in range(60)]
+    edit = lambda x, n: " ".join(w if i not in n else word() for i, w in enumerate(x))
+    rows = [(1, edit(base, ())), (1, edit(other, ())), (2, edit(base, (3,))), (3, edit(other, (50,))), (None, edit(base, (70,))), (None, edit(other, ())), (None, " ".join(word() for _ in range(30))), (7, None), (None, None), (8, ""), (9, "one two"), (9, "one  TWO")]
+    rows += [(20 + i, edit(base, rng.sample(range(120), rng.randrange(1, 5)))) for i in range(60)] + [(200, edit(base, ()))] * 5
+    rows += [(300 + i, " ".join(base[:70] + [word() for _ in range(60)])) for i in range(10)]  # a passage that many share
+    want, root = brute_join(rows, k, percent)
+    out = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out), key=key) == sorted(want, key=key)
+    assert len({r.component for r in out if r.component is not None}) == len({r for r, w in zip(root, want, strict=True) if w[1]})
+
+
+def test_support_bound_keeps_every_link():
+    """Whoever links has too few n-grams missing to go: checked on the counts that a bucket makes."""
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2))
+    sets = [np.unique(np.append(np.delete(base, rng.integers(0, len(base), 15)), rng.integers(0, 1 << 63, 10, dtype=np.uint64))) for _ in range(6)]
+    for a, x in enumerate(sets):
+        y = np.concatenate([s for b, s in enumerate(sets) if b != a])
+        linked = any(100 * len(np.intersect1d(x, s)) >= 80 * len(np.union1d(x, s)) for b, s in enumerate(sets) if b != a)
+        low = ngram_join.lower_part(x)
+        missing = low - int(np.isin(x[:low], y).sum())
+        assert not linked or 100 * missing <= 20 * len(x)
+
+
 def test_size_windows_hold_every_pair():
     low, high = ngram_join.size_windows(85, 4000)
     for s in range(1, 600):
@@ -118,8 +167,70 @@ def test_huffman_round_trip(n):
     lengths = huffman.code_lengths(np.bincount(ids, minlength=3000), 13)
     assert lengths.max(initial=0) <= 13
     keys, sizes = np.array([1, 2, 3]), np.array([0, n, 0])
-    a, b, c = huffman.read_file(huffman.write_file(keys, sizes, ids, lengths))
-    assert (a == keys).all() and (b == sizes).all() and (c == ids).all()
+    null = np.array([True, False, False])
+    a, z, b, c = huffman.read_file(huffman.write_file(keys, null, sizes, ids, lengths))
+    assert (a == keys).all() and (z == null).all() and (b == sizes).all() and (c == ids).all()
+
+
+def test_units_are_encoded_as_whole_texts_are(monkeypatch):
+    """Case, contractions, composed and split accents, other scripts, odd white space, special tokens' strings, and texts over several slices."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(tokens.vocabulary_path()), random.Random(1)
+    signs = ["a", "B", "é", "É", "ß", "×", "÷", "1", "'s", "'", "e\u0301", "日本", "Ω", "Σ", "İ", " ", " ", "  ", "\n", ".", ",", "!?", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "I'LL", "😀", "\x0b", "\x1c", "\u00a0", "_", "ﬁ", "ÿ", "’s", "\x00"]
+    texts = [None, "", " "] + ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 40))) for _ in range(800)]
+    monkeypatch.setattr(tokens, "LONG_SLICE_BYTES", 2000)
+    texts.append(" ".join(rng.choice(signs) for _ in range(4000)))
+    seen = 0
+    for i, j, ids, off in tokens.encoded(pa.array(texts), tokens.vocabulary_path()):
+        for x in range(i, j):
+            seen += 1
+            assert ids[off[x - i] : off[x - i + 1]].tolist() == [*t.encode(texts[x] or "", add_special_tokens=False).ids, 1]
+    assert seen == len(texts)
+
+
+def test_a_full_table_of_units_is_filled_again(monkeypatch):
+    monkeypatch.setattr(tokens, "SLOTS", 1 << 10)
+    c, rng = tokens.Coder(tokens.vocabulary_path()), random.Random(2)
+    for _ in range(8):
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert c.encode(raw, np.array([0, len(raw)]))[0].tolist() == c.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_with_null_and_repeated_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    rows = [(5, "five one"), (None, "nothing here"), (5, "five two"), (5, "five two"), (None, None), (-3, "minus three"), (9, "")]
+    got = huffman.token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    got.sort(key=lambda r: r.start)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    start, want = 0, []
+    for i, text in order:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in got] == want
+
+
+def test_packed_pieces_hold_the_ids(spark, docs):
+    """Each id in exactly one piece, the end id last, crc of the piece's ids; also with null and repeated ids, and long texts cut."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    own = {r.doc_id: r.text for r in docs.collect()}
+    ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for i, x in own.items()}
+    pieces = {}
+    for r in packing.pack(docs, 64).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    for i, p in pieces.items():
+        p.sort()
+        assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:], strict=False)) and sum(p[-1]) == len(ids[i])
+    assert pieces.keys() == own.keys()
+    odd = packing.pack(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (1, None)], "doc_id long, text string"), 64).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in odd) == [(0, 3), (1, 1), (1, 3), (1, 3)]
 
 
 def test_packing(docs, empty):
@@ -202,6 +313,59 @@ def test_language_and_quality_edges(spark, docs):
     assert all(0 <= r.score <= 1 for r in quality.quality_scores(docs, none).collect())
 
 
+def naive_bits(trees, text):
+    """Code length by walking from the longest context down, with plain dictionaries: prediction by partial matching, method C."""
+    raw, bits = b" " * langid.ORDER + bytes(langid.FOLD[b] for b in text), 0.0
+    for i in range(langid.ORDER, len(raw)):
+        for k in range(langid.ORDER, -1, -1):
+            seen = trees[k].get(raw[i - k : i])
+            if not seen:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if raw[i] in seen:
+                bits -= np.log2(seen[raw[i]] / total)
+                break
+            bits -= np.log2(len(seen) / total)
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_are_those_of_a_plain_model(monkeypatch):
+    """All byte values, two languages, texts shorter than the context, empty ones, and texts over several chunks."""
+    monkeypatch.setattr(langid, "CHUNK", 37)
+    rng = random.Random(4)
+    learn = {"x": ["Das ist ein Haus. " * 3, "été à Noël", "a", ""], "y": ["the house is green " * 4, "日本語 text", "THE"]}
+    counts, trees = {}, {}
+    for lang, texts in learn.items():
+        counts[lang], trees[lang] = {}, [{} for _ in range(langid.ORDER + 1)]
+        for t in texts:
+            raw = t.encode()
+            for c in langid.codes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0, len(raw)).tolist():
+                counts[lang][c] = counts[lang].get(c, 0) + 1
+            padded = b" " * langid.ORDER + bytes(langid.FOLD[b] for b in raw)
+            for i in range(langid.ORDER, len(padded)):
+                for k in range(langid.ORDER + 1):
+                    own = trees[lang][k].setdefault(padded[i - k : i], {})
+                    own[padded[i]] = own.get(padded[i], 0) + 1
+    model = langid.Model(counts)
+    texts = ["", "a", "é", "das Haus is green", "日本 house été", "", "\x00\x7f ~", "".join(rng.choice("dasthe ué日") for _ in range(200))]
+    raw = [t.encode() for t in texts]
+    got = model.bits(model.tables(), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [[naive_bits(trees[lang], r) for lang in model.languages] for r in raw]
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-4)
+
+
+def test_noise_is_not_accepted(spark):
+    rng = random.Random(6)
+    words = ["river", "house", "green", "morning", "walked", "seven", "under", "stone", "the", "and"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(200)), "en") for i in range(200)]
+    rows += [(1000, "".join(rng.choice("qxzjkvwpbfQXZJ0379") for _ in range(2000)), None), (1001, None, None), (1002, "", "en"), (None, rows[0][1], None)]
+    out = {r.doc_id: r for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i].accepted and out[i].lang_pred == "en" for i in [*range(200), None])
+    assert not out[1000].accepted and not out[1001].accepted and out[1001].lang_pred == "und" and not out[None].held_out
+
+
 def test_factorisation_identity():
     m = quality.Machine()
     m.weight[:5] = 0.3
@@ -235,13 +399,42 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_neighbours_of_odd_tables(spark):
+    """Repeated and null keys, vectors of two lengths, clashing extra columns, more equal vectors than asked for, huge components, few rows."""
+    rows = [(0, [1.0, 0.0], 1, 2), (0, [1.0, 0.0], 1, 2), (None, [1.0, 0.0], 1, 2), (50, [1e300, 1e300, 0.0], 1, 2), (1, [0.0, 1.0, 0.0], 1, 2), (2, [1.0, 1.0], 1, 2)]
+    rows += [(100 + i, [3.0, 4.0], 1, 2) for i in range(10)]
+    out = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node long, query long")).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 6)))
+    assert got[0] == [(2, 0.707107), (100, 0.6), (101, 0.6), (102, 0.6), (103, 0.6)]
+    assert got[50] == [(1, 0.707107)]
+    assert [v for v, _ in got[100]] == [101, 102, 103, 104, 105]
+
+
+def test_nearest_neighbours_beyond_one_group(spark):
+    """12,000 vectors, half uniform and half in clusters: descent to its end has a recall of 0.9 at least."""
+    rng, n = np.random.default_rng(4), 12_000
+    x = rng.normal(size=(n, 24)).astype("f4")
+    x[: n // 2] = 0.3 * x[: n // 2] + rng.normal(size=(60, 24))[rng.integers(0, 60, n // 2)].astype("f4")
+    out = ann.nearest_neighbours(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(8)).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    good = 0
+    for q, g in out.groupby("query_id"):
+        s = u @ u[q]
+        s[q] = -9
+        good += (s[g.vec_id.values] >= np.sort(s)[-5] - 1e-12).sum()
+        assert np.allclose(g.score.values, s[g.vec_id.values], atol=1e-9)
+    assert good / (5 * 240) >= 0.9
+
+
 def test_walk_goes_to_its_end(spark):
     """On a chain of nodes that only know the next ones the nearest is many steps away."""
     n = 10
-    x = [[float(np.cos(i / n)), float(np.sin(i / n))] for i in range(n)]
-    nodes = spark.createDataFrame(list(enumerate(x)), "node long, vector array<float>")
+    x = [np.array([np.cos(i / n), np.sin(i / n)], "<f4").tobytes() for i in range(n)]
+    nodes = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(x)], "node long, unit binary")
     graph = spark.createDataFrame([(i, j, 0.0) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n], "node long, other long, near float")
-    asked = spark.createDataFrame([(7, x[-1], 0)], "query_id long, from array<float>, node long")
+    asked = spark.createDataFrame([(7, bytearray(x[-1]), 0)], "query long, from binary, node long")
     found = ann.search_graph(ann.Workspace(spark, "walk-test"), graph, nodes, asked).orderBy("score").toPandas()
     assert found.node.tolist() == list(range(n))
 

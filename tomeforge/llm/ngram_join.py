@@ -40,8 +40,8 @@ from tomeforge.llm.common import BROADCAST_ROWS, Workspace, connected_components
 SUBS, SPARE_EACH, ORDERS = 3, 12, 3
 #: Sets in a block; the ranges of the order in which overlaps are counted one by one (a power of two).
 BLOCK, FRAGMENTS = 256, 4
-#: The share of the order on which support is counted is one in SUPPORT.
-SUPPORT = 2
+#: The share of the order on which support is counted is one in SUPPORT; bytes of text of which a bucket holds the n-grams, and least buckets.
+SUPPORT, BUCKET_BYTES, BUCKETS = 2, 64 << 20, 12
 
 
 def size_windows(percent: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
@@ -397,7 +397,8 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 4, percent: int = 85, text
     rows = ws.save(docs.mapInArrow(_sets(k), "doc_id long, mark long, n long, low long, node long"), "rows")
     sets = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("of"), F.first("n").alias("n"), F.first("low").alias("low"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     sets = ws.save(sets, "sets")
-    shared = docs.select("text").mapInArrow(_support_keys(k, buckets), _PACKED).groupBy("bucket").applyInArrow(_support, "node long, shared long")
+    counters = max(BUCKETS, int(volume // BUCKET_BYTES) + 1)  # a set sends a count from each at most, whatever the number of tasks
+    shared = docs.select("text").mapInArrow(_support_keys(k, counters), _PACKED).groupBy("bucket").applyInArrow(_support, "node long, shared long")
     shared = shared.groupBy("node").agg(F.sum("shared").alias("shared"))
     missing = F.col("low") - F.coalesce("shared", F.lit(0))
     alive = sets.join(shared, "node", "left").filter(100 * missing <= (100 - percent) * F.col("n"))

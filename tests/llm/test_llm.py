@@ -179,7 +179,7 @@ def test_units_are_encoded_as_whole_texts_are(monkeypatch):
     t, rng = Tokenizer.from_file(tokens.vocabulary_path()), random.Random(1)
     signs = ["a", "B", "é", "É", "ß", "×", "÷", "1", "'s", "'", "e\u0301", "日本", "Ω", "Σ", "İ", " ", " ", "  ", "\n", ".", ",", "!?", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "I'LL", "😀", "\x0b", "\x1c", "\u00a0", "_", "ﬁ", "ÿ", "’s", "\x00"]
     texts = [None, "", " "] + ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 40))) for _ in range(800)]
-    monkeypatch.setattr(tokens, "LONG_SLICE_BYTES", 2000)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 2000)
     texts.append(" ".join(rng.choice(signs) for _ in range(4000)))
     seen = 0
     for i, j, ids, off in tokens.encoded(pa.array(texts), tokens.vocabulary_path()):

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tomeforge.llm.bytesops import LONG_SLICE_BYTES, byte_class, held, range_hashes, slices
+from tomeforge.llm.bytesops import SLICE_BYTES, byte_class, held, range_hashes, slices
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
@@ -46,8 +46,7 @@ class Coder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Tokenizer.from_file(path)  # the same model for lowered runs of letters with blanks between them
-        self.words.normalizer = None
+        self.words = Tokenizer(self.tokenizer.model)  # the same model (it is shared) for lowered runs of letters with blanks between them
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -178,9 +177,9 @@ def coder(path: str) -> Coder:
 
 def encoded(column: pa.Array, path: str, end: int | None = END_ID) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, offsets of each row's ids), with the end id after each text."""
-    for i, j, data, off in slices(column, LONG_SLICE_BYTES):
-        if j == i + 1 and len(data) > LONG_SLICE_BYTES:  # one text, whose temporary arrays would grow with it
-            ids = np.concatenate([coder(path).encode(x, np.array([0, len(x)]))[0] for x in parts(data, LONG_SLICE_BYTES)])
+    for i, j, data, off in slices(column, SLICE_BYTES):
+        if j == i + 1 and len(data) > SLICE_BYTES:  # one text, whose temporary arrays would grow with it
+            ids = np.concatenate([coder(path).encode(x, np.array([0, len(x)]))[0] for x in parts(data, SLICE_BYTES)])
             n = np.array([len(ids)])
         else:
             ids, n = coder(path).encode(data, off)

@@ -6,7 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that a question's terms leave out.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "can", "do", "does", "for", "from", "how", "i", "in", "is", "it", "my", "of", "on", "or", "that", "the", "to", "was", "what", "when", "where", "which", "who", "will", "with", "you")
+_WORDS = (
+    "a about above after again against all am an and any are as at be because been before being below between both but by can "
+    "cannot could did do does doing down during each few for from further had has have having he her here hers herself him "
+    "himself his how i if in into is it its itself just me more most must my myself no nor not of on once or other ought our "
+    "ours ourselves out over own same she should so some such than that the their theirs them themselves then there these "
+    "they this those through to too until up very was we were what when where which while who whom why with would you your "
+    "yours yourself yourselves"
+)
+STOPWORDS = frozenset(_WORDS.split())
 
 
 def normalised(x: Column) -> Column:
@@ -49,8 +57,58 @@ def capped(items: Column, n: int) -> Column:
     return F.concat(F.array_join(F.slice(items, 1, n), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
 
 
-PRICE = r"(?i)@ ?\d+|\b\d+ ?(?:k|c|g|gold|councils?|each|ea)\b|\bfor \d{3,}|\b\d{5,}\b"
+#: What stands after a number that is a price.
+PRICE_UNITS = ("c", "k", "g", "ea", "ppu", "each", "per", "council", "councils", "gold")
 
 
 def has_price(x: Column) -> Column:
-    return x.rlike(PRICE)
+    """Whether a chat text quotes a price: a number after @ or before a unit, one of three or more digits after "for", or one of five
+    or more anywhere. Thousands may be set off by commas, a unit may follow at once."""
+    parts = F.regexp_replace(F.regexp_replace(F.lower(x), "@", " @ "), "[^a-z0-9_.,@]+", " ")
+    parts = F.regexp_replace(parts, "(?<![a-z_0-9])([0-9][0-9,.]*)(?=[a-z])", "$1 ")  # 500each is 500 each
+    tokens = F.transform(F.split(parts, " "), lambda t: F.rtrim(t, F.lit(".,")))
+    tokens = F.filter(tokens, lambda t: t != "")
+
+    def quoted(t: Column, i: Column) -> Column:
+        at = lambda k: F.coalesce(F.try_element_at(tokens, i + 1 + k), F.lit(""))
+        before = F.when(i > 0, at(F.lit(-1))).otherwise("")
+        digits = F.length(F.translate(F.substring_index(t, ".", 1), ",", ""))
+        number = t.rlike("^[0-9][0-9,]*([.][0-9]+)?$")
+        return number & ((before == "@") | at(F.lit(1)).isin(*PRICE_UNITS) | ((before == "for") & (digits >= 3)) | (digits >= 5))
+
+    flags = F.transform(tokens, quoted)
+    return F.coalesce(F.exists(flags, lambda f: f), F.lit(False))
+
+
+def squeezed(x: Column) -> Column:
+    """Lower case, runs of white space one blank, trimmed: the form in which names are compared."""
+    return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
+
+
+def spaced_words(x: Column) -> Column:
+    """A joined-up keyword as words: BasicMeat gives Basic Meat, XPBoost gives XP Boost."""
+    apart = F.regexp_replace(F.regexp_replace(x, "([a-z])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
+    return F.trim(F.regexp_replace(apart, "[^A-Za-z]+", " "))
+
+
+def article(x: Column) -> Column:
+    return F.when(F.lower(F.substring(x, 1, 1)).isin("a", "e", "i", "o", "u"), "an").otherwise("a")
+
+
+def short_sha256(x: Column, n: int = 12) -> Column:
+    return F.substring(F.sha2(x.cast("binary"), 256), 1, n)
+
+
+def short_md5(x: Column, n: int = 8) -> Column:
+    return F.substring(F.md5(x.cast("binary")), 1, n)
+
+
+def grouped_number(x: Column) -> Column:
+    """Rounded to whole units, thousands set off by commas."""
+    return F.format_number(x.cast("double"), 0)
+
+
+def table_cell(x: Column, width: int = 200) -> Column:
+    """A value as the cell of a markdown table: null is empty, whole numbers lose their fraction, | is escaped, line breaks are blanks."""
+    text = F.replace(F.replace(x.cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    return F.substring(F.coalesce(text, F.lit("")), 1, width)

@@ -1,49 +1,134 @@
-"""Documents to overlapping chunks with lineage."""
+"""Documents to overlapping chunks with lineage.
+
+A document within its budget is one row and never leaves the JVM; only longer ones go through Python, where paragraphs are
+gathered up to a budget of characters or, for some types and where a counter is given, of tokens. Budgets are fixed values.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tomeforge.runtime import ship
 
-BUDGET, OVERLAP = 1024, 100
-
-
-def split(text: str, budget: int = BUDGET, overlap: int = OVERLAP) -> list[str]:
-    """Paragraphs gathered up to the budget, longer ones cut at the last blank; each chunk starts with the end of the one before it."""
-    pieces: list[str] = []
-    for paragraph in (p.strip() for p in text.split("\n")):
-        while len(paragraph) > budget:
-            cut = paragraph.rfind(" ", 1, budget)
-            cut = cut if cut > 0 else budget
-            pieces.append(paragraph[:cut])
-            paragraph = paragraph[cut:].strip()
-        if paragraph:
-            pieces.append(paragraph)
-    chunks: list[str] = []
-    for p in pieces:
-        if chunks and len(chunks[-1]) + 1 + len(p) <= budget:
-            chunks[-1] += "\n" + p
-        else:
-            chunks.append(p)
+#: Characters of a chunk and of the overlap, tokens of a chunk, characters of one where no counter is given.
+BUDGET, OVERLAP, TOKENS, WITHOUT_COUNTER = 1024, 100, 400, 1000
+#: Types whose chunks are measured in tokens.
+TOKEN_TYPES = ("lorebook", "skillprofile", "leveling", "summary", "curated")
+_ENDS = (". ", "! ", "? ", "\n", ", ", " ")
+Counter = Callable[[str], int]
+
+
+def _paragraphs(text: str, mark: str) -> list[str]:
+    return [p for p in map(str.strip, text.split(mark)) if p]
+
+
+def _head(text: str, limit: int) -> tuple[str, str]:
+    """The longest start of at most `limit` characters that ends well, if that is over half of it, and the rest."""
+    if len(text) <= limit:
+        return text, ""
+    for end in _ENDS:
+        at = text.rfind(end, 0, limit)
+        if at > limit // 2:
+            return text[: at + len(end)].rstrip(), text[at + len(end) :].lstrip()
+    return text[:limit].rstrip(), text[limit:].lstrip()
+
+
+def _gather(units: Iterable[str], size: Counter, budget: int, between: str, split: Callable[[str], list[str]], gap: int = 0) -> list[str]:
+    """Units joined while they fit the budget; one that doesn't fit alone is split by itself. `gap` counts for what stands between."""
+    out: list[str] = []
+    held: list[str] = []
+    used = 0
+    for unit in units:
+        n = size(unit)
+        if used + n + gap <= budget:
+            held.append(unit)
+            used += n + gap
+            continue
+        if held:
+            out.append(between.join(held))
+        held, used = ([unit], n) if n <= budget else ([], 0)
+        if not held:
+            out += split(unit)
+    return out + ([between.join(held)] if held else [])
+
+
+def by_characters(text: str, limit: int) -> list[str]:
+    """Paragraphs gathered up to `limit` characters; longer ones are cut where a sentence, line or word ends."""
+    if limit <= 0:
+        raise ValueError("a budget must be positive")
+
+    def cut(unit: str) -> list[str]:
+        out = []
+        while unit:
+            piece, unit = _head(unit, limit)
+            out.append(piece)
+        return out
+
+    units = _paragraphs(text, "\n\n") if len(text) > limit else []
+    return _gather(units, len, limit, "\n\n", cut, gap=2) if units else [text]
+
+
+def by_tokens(text: str, budget: int, count: Counter) -> list[str]:
+    """Paragraphs, else lines, else words gathered up to `budget` tokens; a word of more stays whole."""
+    if budget <= 0:
+        raise ValueError("a budget must be positive")
+    if count(text) <= budget:
+        return [text]
+    words = lambda line: _gather((w for w in line.split(" ") if w), count, budget, " ", lambda w: [w])
+    rows = lambda unit: _gather(_paragraphs(unit, "\n") or [unit], count, budget, "\n", words)
+    return _gather(_paragraphs(text, "\n\n"), count, budget, "\n\n", rows)
+
+
+def overlapping(chunks: list[str], overlap: int = OVERLAP) -> list[str]:
+    """Each chunk after the first begins with the last characters of the one before it, from a word's start."""
     out = chunks[:1]
     for before, own in zip(chunks, chunks[1:], strict=False):
-        tail = before[-overlap:]
-        tail = tail[tail.find(" ") + 1 :] if len(before) > overlap and " " in tail else tail
-        out.append(f"{tail} {own}" if overlap else own)
+        tail = before[-overlap:] if overlap else ""
+        blank = tail.find(" ")
+        out.append(f"{tail[blank + 1 :] if blank > 0 else tail} {own}" if overlap else own)
     return out
 
 
-def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id (<key>_chunk_<i>), parent_id, chunk_index, chunk_count, text; no chunk of a null or blank text."""
+def split(text: str, kind: str = "", count: Counter | None = None, budget: int = BUDGET, overlap: int = OVERLAP, tokens: int = TOKENS) -> list[str]:
+    """The chunks of a document of a type; with a counter no chunk of several words has more than `tokens` tokens."""
+    if kind in TOKEN_TYPES:
+        chunks = by_tokens(text, tokens, count) if count else by_characters(text, WITHOUT_COUNTER)
+    else:
+        chunks = by_characters(text, budget)
+    if count:
+        chunks = [part for c in chunks for part in by_tokens(c, tokens, count)]
+    return overlapping(chunks, overlap)
+
+
+def words_and_marks(text: str) -> int:
+    """A simple counter: words and single signs."""
+    return len(re.findall(r"\w+|[^\w\s]", text))
+
+
+def chunked(docs: DataFrame, key: str, text: str, kind: str | None = None, count: Counter | None = None, budget: int = BUDGET) -> DataFrame:
+    """id, parent_id (null for a document in one piece, which keeps its id), chunk_index, chunk_count, text.
+
+    A null text is an empty one and gives one empty chunk. Only documents that may need more than one chunk are sent to Python.
+    """
+    own = docs.select(F.col(key).cast("string").alias("id"), F.coalesce(F.col(kind) if kind else F.lit(""), F.lit("")).alias("kind"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # a token has a character at least, and characters are counted alike on both sides
+    least = F.when(F.col("kind").isin(*TOKEN_TYPES), F.lit(TOKENS if count else WITHOUT_COUNTER)).otherwise(F.lit(min(budget, TOKENS) if count else budget))
+    short = own.filter(F.length("text") <= least).select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(f"{k}_chunk_{i}", str(k), i, len(parts), p) for k, t in zip(f[key], f[text], strict=True) for parts in [split(t or "")] for i, p in enumerate(parts)]
+            rows = []
+            for ident, of, body in zip(f["id"], f["kind"], f["text"], strict=True):
+                parts = split(body, of, count, budget)
+                whole = len(parts) == 1
+                rows += [(ident if whole else f"{ident}_chunk_{i}", None if whole else ident, i, len(parts), p) for i, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["id", "parent_id", "chunk_index", "chunk_count", "text"])
 
     ship(docs.sparkSession)
-    return docs.select(key, text).mapInPandas(run, "id string, parent_id string, chunk_index int, chunk_count int, text string")
+    long = own.filter(F.length("text") > least).mapInPandas(run, "id string, parent_id string, chunk_index int, chunk_count int, text string")
+    return short.unionByName(long)

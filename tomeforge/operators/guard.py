@@ -1,29 +1,77 @@
-"""Read-only SQL: the parsed plan must hold queries only, and the outermost plan is capped."""
+"""Read-only SQL: the parsed plan may hold queries over the session's own views, and the result is capped."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS = 200
-#: Whatever implements one of these, directly or not, does more than read.
-_DENIED = ("Command", "ParsedStatement")
+#: Whatever is one of these does more than read.
+_DENIED = ("logical.Command", "logical.ParsedStatement")
+#: Functions that run code of the JVM or the host by name.
+_UNSAFE = frozenset(("reflect", "java_method", "try_reflect"))
+#: Functions that may stand where a table does.
+_TABLE_FUNCTIONS = frozenset(("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"))
+
+
+def _parts(node: Any) -> list[str]:
+    it, out = node.iterator(), []
+    while it.hasNext():
+        out.append(str(it.next()))
+    return out
+
+
+def _nodes(spark: SparkSession, plan: Any) -> Iterator[tuple[str, Any]]:
+    """(class name, node) of every plan and expression in plan, those of subqueries and common table expressions among them."""
+    jvm = spark._jvm
+    kind = lambda name: jvm.java.lang.Class.forName(name)
+    tree, product, many = kind("org.apache.spark.sql.catalyst.trees.TreeNode"), kind("scala.Product"), kind("scala.collection.Iterable")
+    todo = [plan]
+    while todo:
+        x = todo.pop()
+        if x is None or isinstance(x, (str, int, float, bool)):
+            continue
+        if tree.isInstance(x):
+            yield x.getClass().getName(), x
+        it = x.iterator() if many.isInstance(x) else x.productIterator() if product.isInstance(x) else None
+        while it is not None and it.hasNext():
+            todo.append(it.next())
 
 
 def guarded_sql(spark: SparkSession, text: str, rows: int = ROWS) -> DataFrame:
-    """At most rows + 1 rows (one more tells that some were cut); ValueError for anything but a query over registered views."""
+    """At most rows + 1 rows (one more tells that some were cut); ValueError for anything but a query over the session's temporary views.
+
+    Relations must be temporary views or common table expressions of the query itself, so neither files nor catalog tables can be read,
+    wherever in the query they stand; table functions must be among a few built-in ones, and functions that call into the JVM are refused.
+    """
     if not text or not text.strip():
         raise ValueError("empty query")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    jvm = spark._jvm
-    denied = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in _DENIED]
-    todo = [plan]
-    while todo:
-        node = todo.pop()
+    denied = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.{k}") for k in _DENIED]
+    relations, own = [], set()
+    for name, node in _nodes(spark, plan):
         if any(k.isInstance(node) for k in denied):
             raise ValueError("only read-only queries are allowed")
-        children = jvm.scala.jdk.javaapi.CollectionConverters.asJava(node.children())
-        todo += list(children)
-    shown = plan.toString().lower()
-    if any(x in shown for x in ("java_method", "reflect(", "'reflect", "`parquet`", "[parquet,", "[json,", "[csv,", "[text,", "[orc,", "[binaryfile,")):
-        raise ValueError("only registered views and ordinary functions are allowed")
+        short = name.rpartition(".")[2]
+        if short == "UnresolvedRelation":
+            relations.append(_parts(node.multipartIdentifier()))
+        elif short == "UnresolvedWith":
+            it = node.cteRelations().iterator()
+            while it.hasNext():
+                own.add(str(it.next().productElement(0)).lower())
+        elif short == "UnresolvedTableValuedFunction":
+            if not (parts := _parts(node.name())) or len(parts) > 1 or parts[0].lower() not in _TABLE_FUNCTIONS:
+                raise ValueError(f"table function {'.'.join(parts)} is not allowed")
+        elif short == "UnresolvedFunction":
+            parts = _parts(node.nameParts())
+            if parts[-1].lower() in _UNSAFE:
+                raise ValueError(f"function {parts[-1]} is not allowed")
+        elif short in ("UnresolvedInlineTable", "OneRowRelation") or "Unresolved" not in short:
+            continue
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    for parts in relations:
+        if len(parts) != 1 or parts[0].lower() not in views | own:
+            raise ValueError(f"{'.'.join(parts)} is not a registered view")
     return spark.sql(text).limit(rows + 1)

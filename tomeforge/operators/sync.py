@@ -41,23 +41,34 @@ def ordered_distinct(rows: DataFrame, key: str, place: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(place).alias(place))
 
 
-HIRED = r"^(.+?) paid (\d+) Councils to hire (.+?) for (?:another )?24 hours"
-NOTED = r"^(.+?) sent a note to shop owner$"
-HID = r"^(.+?) hid (.+?) from shoppers$"
-TAGGED = r"^(.+?) set shop tag to (.+)$"
+#: The phrases of a stall's messages.
+PAID, HIRING, TERMS = " paid ", " Councils to hire ", (" for 24 hours", " for another 24 hours")
+NOTED, HID, HIDDEN, TAGGED = " sent a note to shop owner", " hid ", " from shoppers", " set shop tag to "
+
+
+def _after(x: Column, phrase: str) -> Column:
+    return x.substr(F.length(F.substring_index(x, phrase, 1)) + 1 + len(phrase), F.length(x))
 
 
 def refined_actions(events: DataFrame) -> DataFrame:
     """Unknown actions named by what their message says; only the field that the message states is filled."""
     raw = F.coalesce(F.col("raw_message"), F.lit(""))
-    of = lambda pattern: (F.col("action") == "unknown") & raw.rlike(pattern)
-    kind = F.when(of(HIRED), "hire_stall").when(of(NOTED), "visitor_note").when(of(HID), "hid_item").when(of(TAGGED), "shop_tag")
+    fee, person = F.substring_index(_after(raw, PAID), HIRING, 1), _after(raw, HIRING)
+    hired = F.contains(raw, F.lit(PAID)) & F.contains(raw, F.lit(HIRING)) & fee.rlike("^[0-9]+$") & (F.instr(person, TERMS[0]) + F.instr(person, TERMS[1]) > 1)
+    item = F.substring_index(_after(raw, HID), HIDDEN, 1)
+    kind = (
+        F.when(F.col("action") != "unknown", None)
+        .when(hired & (F.instr(raw, PAID) > 1), "hire_stall")
+        .when(raw.endswith(NOTED) & (F.length(raw) > len(NOTED)), "visitor_note")
+        .when((F.instr(raw, HID) > 1) & raw.endswith(HIDDEN) & (item != ""), "hid_item")
+        .when((F.instr(raw, TAGGED) > 1) & (_after(raw, TAGGED) != ""), "shop_tag")
+    )
     out = events.withColumn("kind", kind)
-    take = lambda name, pattern, k: F.when(F.col("kind") == name, F.regexp_extract(raw, pattern, k))
+    take = lambda name, value: F.when(F.col("kind") == name, value)
     fields = {
-        "price_total": F.coalesce(take("hire_stall", HIRED, 2).cast(events.schema["price_total"].dataType), F.col("price_total")),
-        "player": F.coalesce(take("visitor_note", NOTED, 1), F.col("player")),
-        "item": F.coalesce(take("hid_item", HID, 2), take("shop_tag", TAGGED, 2), F.col("item")),
+        "price_total": F.coalesce(take("hire_stall", fee).cast(events.schema["price_total"].dataType), F.col("price_total")),
+        "player": F.coalesce(take("visitor_note", F.substring_index(raw, NOTED, 1)), F.col("player")),
+        "item": F.coalesce(take("hid_item", item), take("shop_tag", _after(raw, TAGGED)), F.col("item")),
         "action": F.coalesce("kind", "action"),
     }
     return out.withColumns(fields).drop("kind")

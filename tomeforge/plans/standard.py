@@ -25,13 +25,6 @@ register(
 )
 register(
     "postings",
-    lambda s, d: search.postings(table(s, d, "benchmark"), "item_id", "text").select("item_id", "term", "tf", F.col("dl").cast("long").alias("dl")),
-    """with t as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') w from benchmark)
-    select item_id, term, count(*) as tf, max(dl)::bigint as dl from (select item_id, len(w) dl, unnest(w) term from t) group by all""",
-)
-#: The index of the documents.
-register(
-    "document_postings",
     lambda s, d: search.postings(table(s, d, "documents"), "doc_id", "text").select("doc_id", "term", "tf", F.col("dl").cast("long").alias("dl")),
     """with t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') w from documents)
     select doc_id, term, count(*) as tf, max(dl)::bigint as dl from (select doc_id, len(w) dl, unnest(w) term from t) group by all""",
@@ -70,12 +63,6 @@ register(
 )
 register(
     "either_key_join",
-    lambda s, d: relational.either_key_join(table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), table(s, d, "supplier").filter("s_suppkey <= 50").select("s_suppkey", "s_name"), "l_partkey", "l_suppkey", "s_suppkey", ["l_orderkey", "s_name"]),
-    "select distinct l_orderkey, s_name from lineitem, supplier where s_suppkey <= 50 and (l_partkey = s_suppkey or l_suppkey = s_suppkey)",
-)
-#: Over all suppliers; either_key_join above keeps its filter, as its SQL has it.
-register(
-    "either_key_join_all",
     lambda s, d: relational.either_key_join(table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), table(s, d, "supplier").select("s_suppkey", "s_name"), "l_partkey", "l_suppkey", "s_suppkey", ["l_orderkey", "s_name"]),
     "select l_orderkey, s_name from lineitem join supplier on l_partkey = s_suppkey union select l_orderkey, s_name from lineitem join supplier on l_suppkey = s_suppkey",
 )
@@ -94,12 +81,14 @@ register(
 register(
     "price_lines",
     lambda s, d: table(s, d, "documents").filter(T.has_price(F.col("text"))).select("doc_id"),
-    r"select doc_id from documents where regexp_matches(text, '(?i)@ ?\d+|\b\d+ ?(?:k|c|g|gold|councils?|each|ea)\b|\bfor \d{3,}|\b\d{5,}\b')",
+    r"""with p as (select doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(replace(lower(text), '@', ' @ '), '[^a-z0-9_.,@]+', ' ', 'g'), '(^|[^a-z_0-9])([0-9][0-9,.]*)([a-z])', '\1\2 \3', 'g'), ' '), lambda x: rtrim(x, '.,')), lambda x: x <> '') t from documents),
+    f as (select doc_id, t, generate_subscripts(t, 1) i from p), n as (select doc_id, t[i + 1] after, case when i > 1 then t[i - 1] else '' end before, length(replace(split_part(t[i], '.', 1), ',', '')) k from f where regexp_full_match(t[i], '[0-9][0-9,]*([.][0-9]+)?'))
+    select distinct doc_id from n where before = '@' or after in ('c', 'k', 'g', 'ea', 'ppu', 'each', 'per', 'council', 'councils', 'gold') or (before = 'for' and k >= 3) or k >= 5""",
 )
 register(
     "normalised_text",
-    lambda s, d: table(s, d, "benchmark").select("item_id", T.normalised(F.col("text")).alias("norm")),
-    """select item_id, trim(regexp_replace(regexp_replace(translate(lower(text), '''"`‘’“”', ''), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as norm from benchmark""",
+    lambda s, d: table(s, d, "documents").select("doc_id", T.normalised(F.col("text")).alias("norm")),
+    """select doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), '''"`‘’“”', ''), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as norm from documents""",
 )
 register("week_counts", lambda s, d: table(s, d, "events").groupBy(T.week(F.col("ts")).alias("week")).agg(F.count(F.lit(1)).alias("n")), "select strftime(ts, '%Y-%W') as week, count(*) as n from events group by 1")
 register(

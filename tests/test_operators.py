@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tomeforge.functions import text as T
 from tomeforge.operators import chunks, guard, ledger, search
+from tomeforge.sinks import tables
 from tomeforge.sources import files
 from tomeforge.streaming import incremental
 
@@ -28,7 +29,7 @@ def test_replay(events, start, tiers):
 def test_inventory(spark):
     rows = [("o", "i", "2020-01-01", 1, "added", 4, None), ("o", "i", "2020-01-02", 2, "visible", 4, 200.0), ("o", "i", "2020-01-02", 3, "bought", 1, 200.0)]
     df = spark.createDataFrame(rows, "owner string, item string, event_at string, id int, action string, quantity int, price_unit double")
-    assert [tuple(r) for r in ledger.inventory(df).collect()] == [("o", "i", 200.0, 3)]
+    assert [tuple(r) for r in ledger.inventory(df).collect()] == [("o", "i", 200.0, 3, 1, "listed")]
 
 
 def test_normalised_and_missing(spark):
@@ -59,7 +60,7 @@ def test_reassembled(spark):
 def test_chunks():
     out = chunks.split("a b " * 600)
     assert len(out) > 2 and all(len(x) <= chunks.BUDGET + chunks.OVERLAP + 1 for x in out)
-    assert chunks.split("") == []
+    assert chunks.split("") == [""]
 
 
 def test_sources(spark, tmp_path):
@@ -68,8 +69,70 @@ def test_sources(spark, tmp_path):
     (tmp_path / "Big_Page_0123abcd.txt").write_text("x")
     (tmp_path / "plain.txt").write_text("y")
     assert [r.title for r in files.wiki_pages(spark, str(tmp_path)).collect()] == ["Big Page"]
-    line = spark.createDataFrame([("24-01-02 03:04:05\t[Trade] Ann: hi",), ("  more",)], "value string")
-    assert [tuple(r) for r in files.chat_lines(line).collect()] == [("24-01-02 03:04:05", "Trade", "Ann", "hi"), (None, None, None, "  more")]
+    (tmp_path / "Chat-1.log").write_text("one\n\ntwo\n")
+    assert sorted(tuple(r) for r in files.log_lines(spark, str(tmp_path)).collect()) == [("Chat-1.log", 1, "one"), ("Chat-1.log", 2, ""), ("Chat-1.log", 3, "two")]
+    (tmp_path / "goals.json").write_text('[{"Id": 4}, {"Id": 5}]')
+    (tmp_path / "Marks.json").write_text('{"A": [{"Name": "x"}]}')
+    assert sorted((r.tbl, r.key, r.raw) for r in files.json_tables(spark, str(tmp_path)).collect() if r.tbl != "items") == [("goals", "0", '{"Id":4}'), ("goals", "1", '{"Id":5}'), ("marks", "A", '[{"Name":"x"}]')]
+    assert files.json_table(spark, str(tmp_path / "none.json")).count() == 0 and files.json_tables(spark, str(tmp_path / "nowhere")).count() == 0
+    (tmp_path / "Other_0123abce.txt").write_text("z")
+    (tmp_path / "map.json").write_text('{"pages": {"Big Page": {"filename": "Other_0123abce.txt"}}}')
+    pages = files.wiki_pages(spark, str(tmp_path), files.title_map(spark, str(tmp_path / "map.json")))
+    assert sorted((r.filename, r.title) for r in pages.collect()) == [("Big_Page_0123abcd.txt", "Big Page"), ("Other_0123abce.txt", "Big Page_2")]
+    (tmp_path / "old_tales_curated.txt").write_text("t")
+    assert [tuple(r) for r in files.curated(spark, str(tmp_path)).collect()] == [("curated_old_tales_curated", "curated", "curated", "Old Tales", "t")]
+
+
+def test_sqlite(spark, tmp_path):
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "a.db") as c:
+        c.execute("create table t (id integer, name text, price real)")
+        c.executemany("insert into t values (?, ?, ?)", [(1, "x", 2.5), (2, None, None)])
+    assert files.sqlite_tables(str(tmp_path / "a.db")) == {"t": [("id", "INTEGER"), ("name", "TEXT"), ("price", "REAL")]}
+    assert sorted(tuple(r) for r in files.sqlite_table(spark, str(tmp_path / "a.db"), "t").collect()) == [(1, "x", 2.5), (2, None, None)]
+
+
+def test_store(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "store"))
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, name string")
+    store.upsert("t", rows((1, "a"), (2, "b")), ["id"])
+    store.upsert("t", rows((2, "c"), (3, "d")), ["id"])
+    assert sorted(tuple(r) for r in store.read("t").collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    assert store.append_new("log", rows((1, "a"), (5, "b"))) == 2 and store.append_new("log", rows((5, "b"), (6, "c"))) == 1
+    assert store.append_new("log", rows((6, "c"))) == 0 and store.mark("log") == 6 and store.read("log").count() == 3
+    assert store.copy_if_newer("whole", rows((1, "a")), 7) == 1 and store.copy_if_newer("whole", rows((1, "a"), (2, "b")), 7) == 0
+    assert store.copy_if_newer("whole", rows((1, "a"), (2, "b")), 8) == 2
+    store.replace_files("chat", spark.createDataFrame([("f", 1), ("g", 2)], "source_file string, n int"))
+    store.replace_files("chat", spark.createDataFrame([("g", 3), ("g", 4)], "source_file string, n int"))
+    assert sorted((r.source_file, r.n) for r in store.read("chat").collect()) == [("f", 1), ("g", 3), ("g", 4)]
+    assert not store.converge("log", store.read("log")) and store.converge("log", rows((1, "a")).withColumn("more", F.lit(1)))
+    assert store.read("log").count() == 0 and store.mark("log") is None
+    before = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "source_file string, stamp string")
+    now = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "source_file string, stamp string")
+    assert dict(tables.changed_files(now, before).collect()) == {"b": "modified", "c": "deleted", "d": "new"}
+
+
+def test_replay_keeps_what_was_sold_before_it_came():
+    sold_first = [("bought", 5, None), ("visible", 3, 7.0), ("added", 4, None)]
+    assert ledger.replay(sold_first) == [[4, None]]
+    stock = ledger.Stock()
+    for e in (("added", 4, None), ("visible", 2, 9.0), ("visible", 2, 8.0), ("bought", 3, 8.0)):
+        stock.apply(*e)
+    assert stock.final() == [(9.0, 1)] and stock.status() == "listed"
+    bare = ledger.Stock()
+    for e in (("added", 4, None), ("bought", 1, 6.0)):
+        bare.apply(*e)
+    assert bare.final() == [(6.0, 3)]
+
+
+def test_inventory_from_a_count(spark):
+    events = [("o", "i", "2020-01-01 10:00", 1, "added", 9, None), ("o", "i", "2020-02-01 10:00", 2, "bought", 1, 5.0), ("o", "j", "2020-02-01 10:00", 3, "added", 2, None), ("o", "k", "2019-01-01 10:00", 4, "visible", 2, 3.0), ("o", "l", "2020-02-01", 5, "unknown", 2, 3.0), ("o", "m", "2020-01-30", 6, "visible", 1, None)]
+    counts = [("o", "i", 4, 5.0, "2020-01-15 00:00"), ("o", "i", 7, 5.0, "2020-01-10 00:00"), ("o", "i", -1, 5.0, "2020-03-10 00:00"), ("o", "n", 2, None, "2020-01-10 00:00"), ("o", "n", 2, None, "short")]
+    ev = spark.createDataFrame(events, "owner string, item string, event_at string, id int, action string, quantity int, price_unit double")
+    base = spark.createDataFrame(counts, "owner string, item string, quantity int, price_unit double, recorded_at string")
+    out = sorted((r.item, r.price, r.quantity, r.status) for r in ledger.inventory(ev, base, as_of="2020-02-10").collect())
+    assert out == [("i", 5.0, 3, "listed"), ("j", None, 2, "added, never priced"), ("m", None, 1, "snapshot has no price"), ("n", None, 2, "snapshot has no price")]
 
 
 def test_incremental(spark, tmp_path):

@@ -1,15 +1,25 @@
-"""Full-text index as tables, and BM25 over it."""
+"""Full-text index as tables, and BM25 over it.
+
+An index is three tables: postings (one row for each term of each document), documents (key, length and what is shown) and
+statistics (one row). Postings are sorted by term within files, so a prefix reads a narrow range by the files' own statistics;
+documents are touched only for the few that are shown.
+"""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.functions.text import STOPWORDS
 
 K1, B = 1.2, 0.75
+#: Characters of a hit that are shown, and hits at most, of a corpus search and an entity search.
+SNIPPET, MOST, ENTITY_SNIPPET, ENTITIES = 2000, 20, 120, 20
+#: Tables whose facts have columns of their own; the "tool" corpus leaves their documents out.
+TOOL_TABLES = ("advancementtables", "ai", "attributes", "effects", "enums", "items", "itemuses", "landmarks", "mechanic", "playertitles", "schema", "sources_abilities", "sources_items", "sources_recipes", "storagevaults", "tsysclientinfo", "xptables")
 
 
 def query_terms(question: str) -> list[str]:
@@ -18,26 +28,107 @@ def query_terms(question: str) -> list[str]:
     return [w for w in words if w not in STOPWORDS] or words
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, dl). Write it once and search it often."""
-    words = docs.select(key, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
-    terms = words.select(key, F.size("words").alias("dl"), F.explode("words").alias("term"))
+def words_of(*columns: str) -> Column:
+    text = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def postings(docs: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, term, tf, dl) over all the columns together. Write it once and search it often."""
+    terms = docs.select(key, words_of(*columns).alias("words")).select(key, F.size("words").alias("dl"), F.explode("words").alias("term"))
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
-def _count(words: str, prefix: str):
-    return F.size(F.filter(words, lambda x: x.startswith(prefix))).cast("double")
+class Index:
+    """The written index of a table of documents."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str):
+        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+
+    def build(self, docs: DataFrame, *columns: str) -> Index:
+        """Indexes the columns together; all columns of docs can be shown. Documents without a word are counted, as BM25 wants it."""
+        rows = postings(docs, self.key, *columns)
+        rows.repartitionByRange("term").sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{self.root}/postings")
+        docs.write.mode("overwrite").parquet(f"{self.root}/documents")
+        size = F.size(words_of(*columns)).cast("double")
+        docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(size).alias("avgdl")).write.mode("overwrite").parquet(f"{self.root}/statistics")
+        return self
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def refresh(self, changed: DataFrame, gone: DataFrame, *columns: str) -> Index:
+        """The index after rows of `changed` came or took the place of those of their key, and the keys of `gone` went."""
+        old = self.table("documents").join(changed.select(self.key).unionByName(gone.select(self.key)).distinct(), self.key, "left_anti")
+        fresh = Index(self.spark, f"{self.root}-next", self.key).build(old.unionByName(changed), *columns)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        system = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        system.delete(path(self.root), True)
+        system.rename(path(fresh.root), path(self.root))
+        self.spark.catalog.refreshByPath(self.root)
+        return self
+
+    def scores(self, terms: list[str], every: bool = False) -> DataFrame:
+        """(key, score), lower is better, of the documents with any of the terms as a prefix (or with all of them)."""
+        parts = []
+        for i, t in enumerate(terms):
+            found = self.table("postings").filter(F.col("term").startswith(t)).groupBy(self.key).agg(F.sum("tf").cast("double").alias("tf"), F.max("dl").cast("double").alias("dl"))
+            parts.append(found.withColumn("q", F.lit(i)))
+        hits = reduce(lambda a, b: a.unionByName(b), parts)
+        frequency = hits.groupBy("q").agg(F.count(F.lit(1)).cast("double").alias("df"))  # a row for each term of the query
+        rows = hits.join(F.broadcast(frequency), "q").crossJoin(F.broadcast(self.table("statistics")))  # one row
+        idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+        score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        out = rows.groupBy(self.key).agg((-F.sum(score)).alias("score"), F.count(F.lit(1)).alias("n_terms"))
+        return (out.filter(F.col("n_terms") == len(terms)) if every else out).drop("n_terms")
+
+    def search(self, question: str, k: int = 10, keep: Column | None = None, shown: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+        """The k (1 to MOST) best documents: key, shown columns, snippet, score; keep: a condition on the documents' columns."""
+        k, terms = max(1, min(MOST, k)), query_terms(question)
+        docs = self.table("documents")
+        if not terms:
+            return docs.select(self.key, *shown, F.lit("").alias("snippet"), F.lit(0.0).alias("score")).limit(0)
+        scored = self.scores(terms)
+        if keep is not None:
+            scored = scored.join(docs.filter(keep).select(self.key), self.key, "left_semi")
+        best = scored.orderBy("score", self.key).limit(k)
+        return docs.select(self.key, *shown, F.substring(F.col(text), 1, SNIPPET).alias("snippet")).join(F.broadcast(best), self.key).orderBy("score", self.key)  # k rows
+
+
+def entity_search(index: Index, names: DataFrame, query: str, kind: str | None = None) -> DataFrame:
+    """name, type, snippet of the best ENTITIES names that hold all words of the query, one type only if given.
+
+    names: the indexed rows (key, name, type, snippet). A query in double quotes, or with signs that are no words, is looked for
+    as a phrase: its words must follow one another.
+    """
+    words = re.findall(r"[a-z0-9]+", query.lower())
+    if not words:
+        return names.select("name", "type", F.substring("snippet", 1, ENTITY_SNIPPET).alias("snippet")).limit(0)
+    phrase = re.search(r"[^\w\s*]", query) is not None
+    exact = index.table("postings")
+    parts = [exact.filter(F.col("term") == w if not query.strip().endswith("*") or i < len(words) - 1 else F.col("term").startswith(w)).select(index.key, F.col("tf").cast("double").alias("tf"), F.col("dl").cast("double").alias("dl"), F.lit(i).alias("q")) for i, w in enumerate(words)]
+    hits = reduce(lambda a, b: a.unionByName(b), parts).groupBy(index.key, "q").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+    frequency = hits.groupBy("q").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    rows = hits.join(F.broadcast(frequency), "q").crossJoin(F.broadcast(index.table("statistics")))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = rows.groupBy(index.key).agg((-F.sum(score)).alias("score"), F.count(F.lit(1)).alias("n_terms")).filter(F.col("n_terms") == len(set(range(len(words)))))
+    own = names if kind is None else names.filter(F.col("type") == kind)
+    if phrase:
+        own = own.filter(F.contains(F.concat(F.lit(" "), F.array_join(words_of("name", "snippet"), " "), F.lit(" ")), F.lit(" " + " ".join(words) + " ")))
+    best = own.join(scored, index.key).orderBy("score", "name", index.key).limit(ENTITIES)
+    return best.select("name", "type", F.substring("snippet", 1, ENTITY_SNIPPET).alias("snippet"))
 
 
 def ranked(docs: DataFrame, key: str, text: str, question: str, k: int = 10) -> DataFrame:
-    """The k best documents: (key, score), best (lowest) first; each term is a prefix, terms are OR-ed.
+    """The k best documents without an index: (key, score), best (lowest) first; each term is a prefix, terms are OR-ed.
 
-    The documents are tokenised once; term counts of the few query prefixes are taken with higher-order
-    functions, so no posting of another term is shuffled.
+    For texts that are searched once. A text is lowered and split once, into the column `w`; of each term only its count leaves the task.
     """
-    k, terms = max(1, min(20, k)), query_terms(question)
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    counted = docs.select(key, words.alias("w")).select(key, F.size("w").cast("double").alias("dl"), *[_count("w", t).alias(f"f{i}") for i, t in enumerate(terms)])
+    k, terms = max(1, min(MOST, k)), query_terms(question)
+    found = [F.regexp_count(F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit("")))), F.lit(f"(?<![a-z0-9]){t}")).cast("double").alias(f"f{i}") for i, t in enumerate(terms)]
+    size = F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+")).cast("double").alias("dl")
+    counted = docs.select(key, size, *found)
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
     score = sum((F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6)) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) for i in range(len(terms))), F.lit(0.0))
     hit = sum((F.col(f"f{i}") for i in range(len(terms))), F.lit(0.0)) > 0

@@ -1,33 +1,155 @@
-"""Keyed JSON tables, wiki pages and log lines as DataFrames."""
+"""Keyed JSON tables, wiki pages, curated texts, log lines, JSONL and SQLite tables as DataFrames."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeforge.operators.sync import collision_suffix
+
+_KEYED = "key string, id bigint, raw string"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
+
+
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]*)$", 1)
+
+
+def numbered_key(key: Column) -> Column:
+    """The number after a key's last underscore, or null."""
+    return F.regexp_extract(key, "_([^_]*)$", 1).try_cast("bigint")
+
+
+def _records(whole: DataFrame) -> DataFrame:
+    """tbl, key, id, raw of texts that are an object by key, an object of lists by key (raw is the list), or a list (the key is its place)."""
+    shaped = whole.withColumn("kind", F.substring(F.ltrim("value", F.lit(" \n\t\r﻿")), 1, 1))
+    by_key = shaped.filter("kind = '{'").select("tbl", F.explode(F.from_json("value", "map<string,string>")).alias("key", "raw"))
+    by_place = shaped.filter("kind = '['").select("tbl", F.posexplode(F.from_json("value", "array<string>")).alias("place", "raw")).select("tbl", F.col("place").cast("string").alias("key"), "raw")
+    rows = by_key.unionByName(by_place)
+    return rows.select("tbl", "key", numbered_key(F.col("key")).alias("id"), "raw")
+
+
+def json_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(tbl, key, id, raw) of every *.json file in a folder; tbl is the file's lower-case stem. No file gives no rows."""
+    if not _exists(spark, f"{folder}/*.json"):
+        return spark.createDataFrame([], f"tbl string, {_KEYED}")
+    whole = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    return _records(whole.select(F.lower(F.regexp_replace(file_name(F.col("_metadata.file_path")), r"\.json$", "")).alias("tbl"), "value"))
+
 
 def json_table(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object keyed by id as (key, id, raw); id is the number after the key's last underscore, else null."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "raw"))
-    return rows.select("key", F.expr("try_cast(regexp_extract(key, '_([^_]*)$', 1) as bigint)").alias("id"), "raw")
+    """(key, id, raw) of one JSON file; a missing one gives no rows."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], _KEYED)
+    return _records(spark.read.text(path, wholetext=True).select(F.lit("").alias("tbl"), "value")).drop("tbl")
+
+
+def title_map(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, title) from a file that lists pages by title as {"pages": {title: {"filename": ...}}} or {title: filename};
+    unreadable or missing gives no rows."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "filename string, title string")
+    pages = F.coalesce(F.get_json_object("value", "$.pages"), F.col("value"))
+    each = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(pages, "map<string,string>")).alias("title", "of"))
+    return each.select(F.coalesce(F.get_json_object("of", "$.filename"), F.col("of")).alias("filename"), "title").filter("filename is not null")
+
+
+def wiki_pages(spark: SparkSession, path: str, titles: DataFrame | None = None) -> DataFrame:
+    """Files named Title_<8hex>.txt as (filename, title, text): the title from the map, else from the name; of equal titles the second
+    (by file name) gets _2."""
+    if not _exists(spark, f"{path}/*.txt"):
+        return spark.createDataFrame([], "filename string, title string, text string")
+    pages = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(file_name(F.col("_metadata.file_path")).alias("filename"), F.col("value").alias("text"))
+    pages = pages.filter(F.col("filename").rlike("_[0-9a-f]{8}\\.txt$"))
+    stem = F.translate(F.regexp_replace("filename", "_[0-9a-f]{8}\\.txt$", ""), "_", " ")
+    pages = pages.withColumn("title", stem) if titles is None else pages.join(titles.select("filename", F.col("title").alias("known")), "filename", "left").withColumn("title", F.coalesce("known", stem)).drop("known")
+    return collision_suffix(pages, "title", ["filename"]).select("filename", "title", "text")
+
+
+def curated(spark: SparkSession, folder: str) -> DataFrame:
+    """Files named *_curated.txt as documents (id, type, tbl, name, text)."""
+    if not _exists(spark, f"{folder}/*_curated.txt"):
+        return spark.createDataFrame([], "id string, type string, tbl string, name string, text string")
+    stem = F.regexp_replace(file_name(F.col("_metadata.file_path")), r"\.txt$", "")
+    found = spark.read.option("pathGlobFilter", "*_curated.txt").text(folder, wholetext=True).select(stem.alias("stem"), "value")
+    name = F.initcap(F.translate(F.regexp_replace("stem", "_curated", ""), "_", " "))
+    return found.select(F.concat(F.lit("curated_"), "stem").alias("id"), F.lit("curated").alias("type"), F.lit("curated").alias("tbl"), name.alias("name"), F.col("value").alias("text"))
+
+
+def log_lines(spark: SparkSession, folder: str, pattern: str = "Chat-*.log") -> DataFrame:
+    """(source_file, line_no, value) of every line of the log files of a folder, numbered from 1: the input of `chat.folded`.
+
+    A file is split in one place, as numbers need it whole: logs of a day are bounded, and many are spread.
+    """
+    if not _exists(spark, f"{folder}/{pattern}"):
+        return spark.createDataFrame([], "source_file string, line_no int, value string")
+    whole = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(file_name(F.col("_metadata.file_path")).alias("source_file"), "value")
+    each = whole.select("source_file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("place", "value"))
+    return each.select("source_file", (F.col("place") + 1).alias("line_no"), "value")
+
+
+def jsonl(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
+    """Lines that parse; blank and truncated ones are dropped, and with a key those that lack it."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return rows if key is None else rows.filter(F.col(key).isNotNull())
+
+
+def sqlite_tables(path: str) -> dict[str, list[tuple[str, str]]]:
+    """The tables of a SQLite file and their (column, type)."""
+    with _copied(path) as connection:
+        names = [r[0] for r in connection.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by name")]
+        return {n: [(c[1], c[2]) for c in connection.execute(f'pragma table_info("{n}")')] for n in names}
+
+
+def sqlite_table(spark: SparkSession, path: str, name: str, batch: int = 50_000) -> DataFrame:
+    """A table of a local SQLite file, from a copy of it and its journals, as texts, numbers and bytes by the columns' declared types.
+
+    A SQLite file can be read in one place only: rows go in batches from the driver.
+    """
+    kinds = {"INT": "bigint", "REAL": "double", "FLOA": "double", "DOUB": "double", "NUME": "double", "BLOB": "binary"}
+    columns = dict(sqlite_tables(path)).get(name)
+    if columns is None:
+        raise ValueError(f"no table {name}")
+    schema = ", ".join(f"`{c}` {next((v for k, v in kinds.items() if k in t.upper()), 'string')}" for c, t in columns)
+    out = spark.createDataFrame([], schema)
+    with _copied(path) as connection:
+        cursor = connection.execute(f'select * from "{name}"')
+        cast = {"bigint": int, "double": float, "string": str, "binary": bytes}
+        made = [cast[x.rpartition(" ")[2]] for x in schema.split(", ")]
+        while rows := cursor.fetchmany(batch):
+            out = out.unionByName(spark.createDataFrame([tuple(None if v is None else f(v) for f, v in zip(made, r, strict=True)) for r in rows], schema))
+    return out
 
 
-def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Files named Title_<8hex>.txt as (filename, title, text)."""
-    pages = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", "([^/]*)$", 1).alias("filename"), F.col("value").alias("text"))
-    return pages.filter(F.col("filename").rlike("_[0-9a-f]{8}\\.txt$")).withColumn("title", F.translate(F.regexp_replace("filename", "_[0-9a-f]{8}\\.txt$", ""), "_", " "))
+class _copied:
+    """A read-only connection to a copy of a SQLite file and of its write-ahead files, which may be in use."""
 
+    def __init__(self, path: str):
+        self.path = Path(path)
 
-LINE = r"^(\d\d-\d\d-\d\d \d\d:\d\d:\d\d)\t(?:\[([^\]]+)\] )?(?:([^:]{1,40}): )?(.*)$"
+    def __enter__(self):
+        import shutil
+        import sqlite3
+        import tempfile
 
+        self.folder = tempfile.TemporaryDirectory()
+        for end in ("", "-wal", "-shm"):
+            if (own := Path(f"{self.path}{end}")).exists():
+                shutil.copy(own, Path(self.folder.name) / f"copy.db{end}")
+        self.connection = sqlite3.connect(f"file:{self.folder.name}/copy.db?mode=ro", uri=True)
+        return self.connection
 
-def chat_lines(df: DataFrame) -> DataFrame:
-    """ts, channel, speaker, text of each stamped line of a `value` column; other lines have a null ts."""
-    part = lambda k: F.nullif(F.regexp_extract("value", LINE, k), F.lit(""))
-    return df.select(part(1).alias("ts"), part(2).alias("channel"), part(3).alias("speaker"), F.coalesce(part(4), F.col("value")).alias("text"))
+    def __exit__(self, *_) -> None:
+        self.connection.close()
+        self.folder.cleanup()
 
 
-def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines that parse; truncated ones are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def columns_of(df: DataFrame) -> Iterator[tuple[str, str]]:
+    yield from df.dtypes

@@ -42,7 +42,7 @@ def test_entity_names(spark):
     items = game_tables.mapped("items", keyed(spark, {"item_1": {"Name": "Tallow", "InternalName": "TallowTub"}}))
     skills = game_tables.mapped("skills", keyed(spark, {"Joinery": {"Id": 1, "Description": "d"}}))
     out = sorted((r.name, r.type) for r in game_tables.entity_names({"items": items, "skills": skills}).collect())
-    assert out == [("Tallow", "item"), ("TallowTub", "item"), ("Joinery", "skill")]
+    assert out == [("Joinery", "skill"), ("Tallow", "item"), ("TallowTub", "item")]
 
 
 def test_chat_fold(spark):

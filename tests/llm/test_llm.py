@@ -295,6 +295,54 @@ def test_url_rules_and_links(spark):
     assert url_filter.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_url_propagation_is_that_of_a_dense_matrix(spark):
+    """Trust along links and distrust against them, //host links, parent domains, hosts that only are linked to, repeated and odd rows."""
+    rng = random.Random(8)
+    hosts = ["a.net", "b.org", "x.fan.io", "y.fan.io", "c.de", "d.de", "sub.d.de", "e.com"]
+    pages, edges = [], {}
+    for i in range(60):
+        h = rng.choice(hosts)
+        to = [rng.choice([*hosts, "far.away.se"]) for _ in range(rng.randrange(3))]
+        pages.append((i, f"http://{h}/{rng.choice(['fr/', 'x', ''])}", " ".join(f"<a href={q}{rng.choice(['http:', '', 'HTTPS:'])}//{t.upper()}/z{q}>z</a>" for t, q in zip(to, "\"'  ", strict=False))))
+        for t in to:
+            edges[h, t] = edges.get((h, t), 0) + 1
+    pages += [(None, None, None), (100, "http://", "<a href='//'>"), (0, pages[0][1], None), (101, "http://lonely/", "")]
+    out = url_filter.url_verdicts(spark.createDataFrame([(*p, "s", "t") for p in pages], "page_id long, url string, html string, host string, mass string"))
+    names = sorted({*hosts, "far.away.se", "away.se", "fan.io", "lonely"})
+    for h in names:
+        p = h.partition(".")[2]
+        if "." in p:
+            for e in ((h, p), (p, h)):
+                edges[e] = edges.get(e, 0) + 1
+    n, at = len(names), {h: i for i, h in enumerate(names)}
+    w = np.zeros((n, n))
+    for (a, b), k in edges.items():
+        if a != b:
+            w[at[a], at[b]] += k
+    norm = lambda m: m / np.maximum(m.sum(1, keepdims=True), 1)
+    judged = {}
+    for r in out.collect():
+        if r.host:
+            judged.setdefault(r.host, []).append(r)
+    allow, block = np.zeros(n), np.zeros(n)
+    for h, rows in judged.items():
+        ruled = [r.verdict if r.rule else None for r in rows]
+        allow[at[h]], block[at[h]] = ruled.count("allow") / len(rows), ruled.count("block") / len(rows)
+    d = url_filter.DAMPING
+    dense = lambda seed, m: (1 - d) * np.linalg.solve(np.eye(n) - d * norm(m).T, seed)
+    trust, distrust = dense(allow, w), dense(block, w.T)
+    slack = url_filter.TOLERANCE * (1 - d) * (allow.sum() + block.sum()) * d / (1 - d)
+    for h, rows in judged.items():
+        t, f = trust[at[h]], distrust[at[h]]
+        for r in rows:
+            assert abs(r.trust - t) <= slack and abs(r.distrust - f) <= slack
+            if r.rule is None and abs(f - t - url_filter.THRESHOLD * (1 - d)) > 2 * slack:
+                assert r.verdict == ("block" if f - t > url_filter.THRESHOLD * (1 - d) else "allow")
+    assert trust[at["x.fan.io"]] + distrust[at["x.fan.io"]] > 0
+    nothing = [r for r in out.collect() if not r.host]
+    assert all(r.verdict == "allow" and r.rule is None for r in nothing)
+
+
 def test_language_and_quality(spark, empty):
     d = "/root/testdata/sf0.01/"
     docs, labels = spark.read.parquet(d + "documents.parquet"), spark.read.parquet(d + "labels.parquet")

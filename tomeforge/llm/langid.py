@@ -25,13 +25,12 @@ from tomeforge.llm.common import ship
 ORDER = 3
 #: Texts a language that the trees are counted on, about; each is taken whole.
 SAMPLE_TEXTS = 400
-#: A text is accepted up to this many times the bits a byte that the language's own texts need under trees counted
-#: on others of its texts, and so many bits more.
-EXCESS, SPARE_BITS = 1.1, 256
+#: A text is accepted if its best code is shorter than its bytes themselves, with so many bits to spare for short texts.
+SPARE_BITS = 64
 #: Bytes whose costs are looked up at once.
 CHUNK = 1 << 20
 UNDETERMINED = "und"
-_COUNTS = "lang string, half int, code long, n long"
+_COUNTS = "lang string, code long, n long"
 
 
 def codes(data: np.ndarray, off: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -52,18 +51,17 @@ def codes(data: np.ndarray, off: np.ndarray, a: int, b: int) -> np.ndarray:
 
 
 class Model:
-    """languages (sorted), and of each the (code, count) pairs of the longest contexts; bounds: the most bits a byte to accept."""
+    """languages (sorted), and of each the (code, count) pairs of the longest contexts."""
 
-    def __init__(self, counts: dict[str, dict[int, int]], bounds: dict[str, float] | None = None):
+    def __init__(self, counts: dict[str, dict[int, int]]):
         self.languages = sorted(counts)
         self.seen = []
         for lang in self.languages:
             code = np.array(sorted(counts[lang]), np.uint32)
             self.seen.append((code, np.array([counts[lang][int(c)] for c in code], np.int64)))
-        self.bounds = np.array([(bounds or {}).get(lang, 8.0) for lang in self.languages])
 
     def digest(self) -> str:
-        parts = [repr(self.languages).encode(), self.bounds.tobytes(), *(a.tobytes() for pair in self.seen for a in pair)]
+        parts = [repr(self.languages).encode(), *(a.tobytes() for pair in self.seen for a in pair)]
         return hashlib.sha256(b"".join(parts)).hexdigest()
 
     def tables(self) -> list[tuple[Lookup, np.ndarray, Lookup, np.ndarray]]:
@@ -131,7 +129,7 @@ def _predict(shared, token: str):
                     score = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
                     best = [model.languages[x] if y else UNDETERMINED for x, y in zip(k.tolist(), letter[i:j].tolist(), strict=True)]
                     score = np.where(letter[i:j], score, 0.0)
-                    good = letter[i:j] & (bits.min(1) <= EXCESS * model.bounds[k] * np.diff(off) + SPARE_BITS)
+                    good = letter[i:j] & (bits.min(1) < 8 * np.diff(off) + SPARE_BITS)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(best, pa.string()), pa.array(score), pa.array(good)], names=[*batch.schema.names[:-1], *names])
 
@@ -139,34 +137,18 @@ def _predict(shared, token: str):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, half, code, n) of a task's texts; the halves are counted apart."""
+    """(lang, code, n) of a task's texts."""
     settle()
-    found: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
-        lang, half = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, _, data, off in slices(batch.column(2), 1):  # one text at a time
+        lang = batch.column(0).to_pylist()
+        for i, _, data, off in slices(batch.column(1), 1):  # one text at a time
             for a in range(0, len(data), CHUNK):
-                found.setdefault((lang[i], half[i]), []).append(np.unique(codes(data, off, a, min(a + CHUNK, len(data))), return_counts=True))
-    for (lang, half), parts in found.items():
+                found.setdefault(lang[i], []).append(np.unique(codes(data, off, a, min(a + CHUNK, len(data))), return_counts=True))
+    for lang, parts in found.items():
         code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
         n = np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(np.full(len(code), half, np.int32)), pa.array(code.astype(np.int64)), pa.array(n)], names=["lang", "half", "code", "n"])
-
-
-def _rates(shared):
-    """Bits a byte of each text under its own language's trees of the other half."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [(m, m.tables() if m.languages else None) for m in shared.value]
-        for batch in batches:
-            lang, half = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, _, data, off in slices(batch.column(2), 1):
-                model, tables = models[1 - half[i]]
-                if tables is not None and lang[i] in model.languages and len(data) >= 64:
-                    rate = model.bits(tables, data, off)[0, model.languages.index(lang[i])] / len(data)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang[i]]), pa.array([rate])], names=["lang", "rate"])
-
-    return run
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:
@@ -184,23 +166,18 @@ def train(documents: DataFrame, folds: int = 4, fold: int = 2, texts: int = SAMP
         return Model({})
     step = F.create_map(*[F.lit(x) for pair in ((k, max(1, n // texts)) for k, n in counts.items()) for x in pair])
     drawn = rows.filter(F.pmod(F.xxhash64(F.col(key)), F.element_at(step, F.col(lang))) == 0)
-    drawn = drawn.select(F.col(lang).cast("string").alias("lang"), F.pmod(F.hash(F.col(text)), F.lit(2)).alias("half"), F.col(text).alias("text"))
-    every: dict[str, dict[int, int]] = {}
-    halves: list[dict[str, dict[int, int]]] = [{}, {}]
-    for name, half, code, n in drawn.mapInArrow(_count, _COUNTS).groupBy("lang", "half", "code").agg(F.sum("n")).collect():
-        halves[half].setdefault(name, {})[code] = n
-        own = every.setdefault(name, {})
-        own[code] = own.get(code, 0) + n
-    shared = spark.sparkContext.broadcast([Model(h) for h in halves])
-    bounds = {r[0]: r[1] for r in drawn.mapInArrow(_rates(shared), "lang string, rate double").groupBy("lang").agg(F.max("rate")).collect()}
-    return Model(every, bounds)
+    drawn = drawn.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    found: dict[str, dict[int, int]] = {}
+    for name, code, n in drawn.mapInArrow(_count, _COUNTS).groupBy("lang", "code").agg(F.sum("n")).collect():
+        found.setdefault(name, {})[code] = n
+    return Model(found)
 
 
 def identify(documents: DataFrame, model: Model, columns: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """The given columns and lang_pred, score, accepted of each row.
 
     lang_pred is the language of the shortest code (ties: the first by name), score its share of 2 ** -bits over all
-    languages; accepted says whether the code is short enough for a text of that language (EXCESS, SPARE_BITS). A null text, or one
+    languages; accepted says whether that code is shorter than the text itself (SPARE_BITS), which noise is not. A null text, or one
     without any letter, is `und` with score 0 and not accepted, as is every text without trained languages.
     Repeated rows are judged each for itself; an empty table gives no rows.
     """

@@ -18,8 +18,8 @@ from tomeforge.llm.common import ship
 from tomeforge.llm.langid import held_out
 
 BUCKETS, RANK, BINS = 1 << 15, 8, 12
-#: Labelled texts to learn from, about; longer texts than LEARN_BYTES aren't drawn.
-LEARN_TEXTS, LEARN_BYTES = 6000, 1 << 18
+#: Labelled texts to learn from, about, each taken whole: a text has a number of features that its length does not change beyond BUCKETS.
+LEARN_TEXTS = 6000
 EPOCHS, RATE, DECAY = 12, 0.08, 1e-5
 _CLASSES = {
     "upper": byte_class((0x41, 0x5A)),
@@ -152,7 +152,7 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1
     known = labels.filter(~held_out(F.col("doc_id"), folds, fold) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
     step = max(1, known.count() // texts)
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).distinct()  # some `texts` rows
-    rows = documents.filter(F.octet_length("text") <= LEARN_BYTES).select("doc_id", _chars(documents).alias("n_chars"), "text").join(F.broadcast(drawn), "doc_id")
+    rows = documents.select("doc_id", _chars(documents).alias("n_chars"), "text").join(F.broadcast(drawn), "doc_id")
     found = rows.select("label", "n_chars", "text").mapInArrow(_featurise, "label int, feature binary, value binary").collect()
     found.sort(key=lambda r: (r[0], bytes(r[1])))  # the order of arrival is no part of the model
     return Machine().fit([(r[0], np.frombuffer(r[1], "<u4").astype(np.int64), np.frombuffer(r[2], "<f4")) for r in found])

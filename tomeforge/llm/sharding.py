@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tomeforge.llm.common import Workspace
 
+#: Rows of a range partition, about.
+ROWS = 2_000_000
+
 
 def byte_shards(documents: DataFrame, shards: int = 24, overhead: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of documents: doc_id, size, text_crc32, law, shard, slot, grown_shard.
@@ -23,13 +26,14 @@ def byte_shards(documents: DataFrame, shards: int = 24, overhead: int = 8, text:
     spark = documents.sparkSession
     ws = Workspace(spark, "sharding")
     text_ = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(text_) + overhead).cast("long").alias("size"), F.crc32(text_.cast("binary")).alias("text_crc32"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    ranged = ws.save(rows.repartitionByRange(parts, "doc_id", "text_crc32", "size").withColumn("part", F.spark_partition_id()), "ranged")
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(text_) + overhead).cast("long").alias("size"), F.crc32(text_.cast("binary")).alias("text_crc32"), F.rand(7).alias("salt"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2, documents.count() // ROWS + 1)
+    # the salt lets rows that are the same in all else fall into several partitions
+    ranged = ws.save(rows.repartitionByRange(parts, "doc_id", "text_crc32", "size", "salt").withColumn("part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))  # one row for each partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ws.save(totals.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.sum("bytes").over(Window.partitionBy()).alias("total")), "totals")
-    within = Window.partitionBy("part").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("part").orderBy("doc_id", "text_crc32", "size", "salt")
     placed = (
         ranged.withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("row", F.row_number().over(within) - 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeforge.catalog import register, table
-from tomeforge.documents import builders, computed
+from tomeforge.documents import builders, computed, wiki_docs
 from tomeforge.functions import wiki
 from tomeforge.operators import chunks
 
@@ -189,3 +189,24 @@ register(
     lambda s, d: chunks.chunked(table(s, d, "documents"), "doc_id", "text").groupBy(F.coalesce("parent_id", "id").alias("doc")).agg(F.max("chunk_count").alias("chunks"), F.count(F.lit(1)).cast("int").alias("n")).filter("chunks = n").select("doc", (F.col("n") > 1).alias("is_cut")),
     "select doc_id::varchar as doc, length(coalesce(text, '')) > 1024 as is_cut from documents",
 )
+register(
+    "creatures",
+    lambda s, d: shown(wiki_docs.creatures(table(s, d, "supplier").select(F.col("s_name").alias("title"), F.concat(F.lit("{{MOB infobox| type = Insect\n}}\nIt flies at "), "s_name", F.lit(".\n== X ==\n{{MOB Location| area = [[Hill|N"), "s_nationkey", F.lit("]] }}[[Category:Lake Creatures]]")).alias("text")))),
+    f"""select 'creature_' || s_name as id, 'wiki' as type, s_name as name, 'Creature Locations: ' || s_name || {_N} || 'Type: Insect' || {_N} || 'Locations: N' || s_nationkey || ', Lake' || {_N} || 'Description: It flies at ' || s_name || '.' || {_N} || s_name || ' is an Insect creature. It can be found in N' || s_nationkey || ', Lake.' as text from supplier""",
+)
+register(
+    "growing_tables",
+    lambda s, d: shown(wiki_docs.growing(table(s, d, "part").filter("p_size < 20").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))), lambda x: F.concat(F.lit("| {{Item|"), x["p_name"], F.lit("}} || "), x["p_size"].cast("string"), F.lit(" || 2h || a || b || full || -"))), "\n").alias("t")).select(F.col("p_brand").alias("title"), F.concat(F.lit("Growing Time\n"), "t").alias("text")))),
+    f"""select 'summary_wiki_growing_' || lower(p_brand) as id, 'summary' as type, p_brand || ' Growing Table Summary' as name, p_brand || ' growing table (per item, wiki):' || {_N} || string_agg('- ' || p_name || ': ' || p_brand || ' level ' || p_size || '; grows in 2h; adequate substrate a; very well in b; moon phases: robust in full', {_N} order by p_partkey) as text from part where p_size < 20 group by p_brand""",
+)
+register(
+    "page_documents",
+    lambda s, d: shown(wiki_docs.page_documents(table(s, d, "customer").select(F.col("c_name").alias("title"), F.concat("c_name", F.lit(" is the lead of this page, and it is long enough to be kept.\n== Use ==\nshort\n{|\n! A !! B\n|-\n| "), "c_mktsegment", F.lit(" || "), "c_nationkey", F.lit("\n|}")).alias("text")))),
+    """select 'wiki_' || c_name as id, 'wiki' as type, c_name as name, c_name || ' is the lead of this page, and it is long enough to be kept.' as text from customer union all select 'wiki_' || replace(c_name, '#', '_') || '_table_0_coverage', 'wiki', c_name, c_name || ' table covers: ' || c_mktsegment from customer
+    union all select 'wiki_' || replace(c_name, '#', '_') || '_table_0_row_0', 'wiki', c_name, c_name || ' table row: ' || c_mktsegment || ' | ' || c_nationkey from customer""",
+)
+register(
+    "topics",
+    lambda s, d: wiki_docs.topics(table(s, d, "customer").select(F.col("c_name").alias("filename"), F.when(F.col("c_custkey") % 2 == 0, "requires level 3").otherwise("nothing").alias("text"))),
+    """with f as (select c_name, row_number() over (order by c_name) i, count(*) over () n from customer where c_custkey % 2 = 0) select 'crafting_progressions' as topic, max(n)::int as n, '==Crafting Progressions==' || chr(10) || 'Auto-generated from ' || max(n) || ' wiki sources.' || chr(10) || chr(10) || string_agg('Source: ' || c_name || chr(10) || 'requires level 3' || chr(10) || chr(10), '' order by i) as text from f where i <= 5""",
+)

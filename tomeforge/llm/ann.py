@@ -27,9 +27,9 @@ DEGREE, REVERSE = 20, 16
 #: Random partitions that the graph starts from, and nodes of a group in them, about.
 TREES, GROUP = 4, 48
 #: Descent ends after a round that changed less than this share of the edges.
-CHANGED = 0.002
+CHANGED = 0.003
 #: Nodes that a query keeps; nodes that it expands in a step. A walk ends when no node that it keeps is unexpanded.
-BEAM, EXPAND = 200, 40
+BEAM, EXPAND = 200, 80
 #: Vectors that one call of a round holds, about.
 CALL = 16_000
 
@@ -178,6 +178,14 @@ def build_graph(ws: Workspace, nodes: DataFrame, dims: dict[int, int], degree: i
     return edges.select("node", "other", "near")
 
 
+def walkable(graph: DataFrame, most: int = 2 * DEGREE) -> DataFrame:
+    """(node, other): each edge both ways, the nearest `most` of a node, so that a walk also reaches nodes which are near to what it
+    found but not among the nearest of it."""
+    both = graph.unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "near"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "other"))
+    return both.groupBy("node", "other").agg(F.max("near").alias("near")).withColumn("rank", rank).filter(F.col("rank") <= most).select("node", "other")
+
+
 def _cosine(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +240,7 @@ def nearest_neighbours(vectors: DataFrame, queries_every: int = 50, k: int = 5,
     dims = {r[0]: r[1] for r in nodes.groupBy("dim").count().collect()}  # one row for each length
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    graph = build_graph(ws, nodes, dims)
+    graph = ws.save(walkable(build_graph(ws, nodes, dims)), "graph")
     asked = rows.filter(F.col("vec_id") % queries_every == 0).join(members.filter("place = 1").select("vector", "node"), "vector")
     asked = ws.save(asked.select(F.col("vec_id").alias("query_id"), "node"), "asked")
     starts = asked.select("node").distinct().join(nodes, "node").select(F.col("node").alias("query"), F.col("unit").alias("from"), "node")  # equal queries walk once

@@ -88,6 +88,8 @@ def _sides(bits: dict[int, int], trees: int, seed: int):
 def _nearest(node: np.ndarray, other: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
     """Places of the k nearest distinct others of each node."""
     order = np.lexsort((other, -near, node))
+    if not len(order):
+        return order
     n, o = node[order], other[order]
     fresh = np.append(True, (n[1:] != n[:-1]) | (o[1:] != o[:-1]))
     order, n = order[fresh], n[fresh]

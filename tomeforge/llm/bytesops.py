@@ -210,3 +210,57 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
         else:
             out.append(window_hashes(h[a : a + n], n) if n else np.zeros(0, np.uint64))
     return out
+
+
+def bounds(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each maximal run of bytes that are inside; runs end with their text."""
+    n = len(inside)
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    begin, last = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1] | edge[1:n]
+    last[:-1] &= ~inside[1:] | edge[1:n]
+    start = np.flatnonzero(begin)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(off, start, "right") - 1
+
+
+def cut_long(inside: np.ndarray, limit: int = SLICE_BYTES) -> list[int]:
+    """Ends of pieces of a long text, of about limit bytes and never within a run of bytes that are inside."""
+    ends, at, n = [], 0, len(inside)
+    while at < n:
+        at = min(n, at + limit)
+        while at < n and inside[at]:  # on to the end of the run, which may be long itself
+            gap = np.flatnonzero(~inside[at : at + limit])
+            at = at + int(gap[0]) if len(gap) else min(n, at + limit)
+        ends.append(at)
+    return ends
+
+
+def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of these words, one blank after each, and the place of each word in them."""
+    size = end - start + 1
+    place = np.cumsum(size) - size
+    total = int(size.sum())
+    if not total:
+        return np.zeros(0, np.uint8), place
+    source = np.repeat(start - place, size) + np.arange(total)
+    out = data[np.minimum(source, len(data) - 1)]
+    out[place + size - 1] = 0x20
+    return out, place
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each different word, number of its word for each place), confirmed byte by byte."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, number = np.unique(range_hashes(data, start, end, np.zeros(len(start), bool)), return_index=True, return_inverse=True)
+    size, of = end - start, first[number]
+    same = bool((size == size[of]).all())
+    if same:
+        steps = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        same = np.array_equal(data[np.repeat(start, size) + steps], data[np.repeat(start[of], size) + steps])
+    if not same:  # two words of one hash
+        raw, seen = data.tobytes(), {}
+        number = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        first = np.unique(number, return_index=True)[1]
+    return first, number

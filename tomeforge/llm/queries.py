@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tomeforge.llm import ann, decontaminate, huffman, langid, licences, ngram_join, packing, quality, sharding, url_filter
+from tomeforge.llm import ann, decontaminate, huffman, langid, licences, ngram_join, packing, quality, sharding, simhash, spelling, tandem, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +54,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(_table(spark, sf_dir, "documents"), least=5, spoil=97), least=3)
+
+
+def replanted(documents: DataFrame) -> DataFrame:
+    """The documents with periodic endings: each tenth one by h = crc32 of its doc_id has its words joined by blanks, and from word
+    a on they repeat the p words that stand there. A null doc_id changes nothing."""
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.greatest(F.size("_words"), F.lit(1))
+    g = F.floor(h / 10)
+    split = documents.withColumn("_words", F.when(h % 10 == 0, F.expr(r"filter(split(text, '[ \\t-\\r]+'), x -> x <> '')")))
+    placed = split.withColumn("_a", g % n).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + g % 8)))
+    text = F.expr("array_join(transform(_words, (x, i) -> if(i < _a, x, _words[cast(_a + (i - _a) % _p as int)])), ' ')")
+    return placed.withColumn("text", F.when(F.size("_words") > 0, text).otherwise(F.col("text"))).drop("_words", "_a", "_p")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tandem.periodic_runs(replanted(_table(spark, sf_dir, "documents")), least=12).withColumn("n_runs", F.size("runs").cast("long"))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start as left, -r.period as short)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    out = found.withColumn("best", best).select("doc_id", "n_runs", (-F.col("best.left")).alias("start"), "best.length", (-F.col("best.short")).alias("period"), lines.alias("lines"), "collapsed")
+    return out.select("doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_url_filter, op3_nearest_neighbours, op4_packing, op5_decontamination, op6_sharding, op7_language_id, op8_licence_scan, op9_token_files, op10_quality)
+    own = (op1_ngram_jaccard_join, op2_url_filter, op3_nearest_neighbours, op4_packing, op5_decontamination, op6_sharding, op7_language_id, op8_licence_scan, op9_token_files, op10_quality, op11_spelling_variants, op12_periodic_runs, op13_simhash_near_dedup)
     return {f.__name__: f for f in own}
 
 

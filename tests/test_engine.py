@@ -72,7 +72,7 @@ def test_player_sections(engine):
 def test_index_refresh(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "gamma")], "id int, text string")
     index = search.Index(spark, str(tmp_path / "i"), "id").build(docs, "text")
-    index.refresh(spark.createDataFrame([(2, "alpha"), (4, "alpha")], "id int, text string"), spark.createDataFrame([(1,)], "id int"), "text")
+    index.refresh(spark.createDataFrame([(2, "alpha"), (4, "alpha")], "id int, text string"), spark.createDataFrame([(1,)], "id int"))
     assert sorted(r.id for r in index.search("alpha").collect()) == [2, 4] and index.search("beta").count() == 0
 
 

@@ -9,24 +9,10 @@ from tomeforge.catalog import register, table
 from tomeforge.functions import text as T
 from tomeforge.operators import chunks, ledger, relational, search
 
-QUESTION = "what is the edan and thion"
-_TERMS = search.query_terms(QUESTION)
-_COUNTS = ", ".join(f"len(list_filter(w, lambda x: starts_with(x, '{t}')))::double f{i}" for i, t in enumerate(_TERMS))
-_DFS = ", ".join(f"sum((f{i} > 0)::int)::double df{i}" for i in range(len(_TERMS)))
-_SCORE = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6::double) * f{i} * 2.2::double / (f{i} + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))" for i in range(len(_TERMS)))
-_HIT = " + ".join(f"f{i}" for i in range(len(_TERMS)))
-
-register(
-    "ranked_search",
-    lambda s, d: search.ranked(table(s, d, "documents"), "doc_id", "text", QUESTION).select("doc_id", F.round("score", 6).alias("score")),
-    f"""with t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') w from documents),
-    c as (select doc_id, len(w)::double dl, {_COUNTS} from t), s as (select count(*)::double n, avg(dl) avgdl, {_DFS} from c)
-    select doc_id, round(-({_SCORE}), 6) as score from c, s where {_HIT} > 0 order by -({_SCORE}), doc_id limit 10""",
-)
 register(
     "postings",
     lambda s, d: search.postings(table(s, d, "documents"), "doc_id", "text").select("doc_id", "term", "tf", F.col("dl").cast("long").alias("dl")),
-    """with t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') w from documents)
+    """with t as (select doc_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from documents)
     select doc_id, term, count(*) as tf, max(dl)::bigint as dl from (select doc_id, len(w) dl, unnest(w) term from t) group by all""",
 )
 register(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,13 @@ def ship(spark: SparkSession) -> None:
         out.write_bytes(packed.getvalue())
         sc.addPyFile(str(out))
     sc._tomeforge_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; below a local one only where that is unset and Spark runs in one process (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not (spark.sparkContext.master or "").startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tomeforge-")
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"

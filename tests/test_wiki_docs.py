@@ -11,7 +11,7 @@ def test_sections_and_tables(spark):
     long = "This is a sentence that is long enough to be kept as a section of its own."
     text = f"Lead. {long}\n== Use of & for ==\n{long} <!-- hidden -->\n{{| class=x\n! Name !! Level\n|-\n| [[Cup|Tin Cup]] || 4\n|-\n| Pot || 5\nmore\n|}}\n== Use of & for ==\n{long}\n=== Short ===\nx"
     out = {r.id: r.text for r in wiki_docs.page_documents(frame(spark, [("My Page", text), ("Empty", None)])).collect()}
-    assert out == {"wiki_My Page": f"Lead. {long}", "wiki_My Page_Use_of_and_for": long, "wiki_My Page_Use_of_and_for_2": long, "wiki_My_Page_table_0_coverage": "My Page table covers: Tin Cup, Pot", "wiki_My_Page_table_0_row_0": "My Page table row: Tin Cup | 4", "wiki_My_Page_table_0_row_1": "My Page table row: Pot | 5\nmore"}
+    assert out == {"wiki_My Page": f"Lead. {long}", "wiki_My Page_Use_of_and_for": long, "wiki_My Page_Use_of_and_for_2": long, "wiki_My_Page_table_0_coverage": "My Page table covers: Tin Cup, Pot", "wiki_My_Page_table_0_row_0": "My Page table row: Tin Cup | 4", "wiki_My_Page_table_0_row_1": "My Page table row: Pot | 5 more"}
 
 
 def test_creatures(spark):

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from tomeforge.documents.builders import document, lines, optional
 from tomeforge.documents.computed import HARVESTED_ON
 from tomeforge.functions.text import article
-from tomeforge.functions.wiki import plain
+from tomeforge.functions.wiki import cell_text, plain, prose
 from tomeforge.operators.sync import collision_suffix
 from tomeforge.runtime import ship
+from tomeforge.sinks.tables import Store
 
 #: Characters of a section at least, of a row's or a table's text at most, and of a creature's description.
 LEAST, MOST, DESCRIPTION = 50, 950, 220
@@ -47,7 +48,7 @@ def take_tables(text: str) -> tuple[str, list[list[list[str]]]]:
         if held is None and bare.startswith("{|"):
             held = [[]]
         elif held is not None and bare.startswith("|}"):
-            rows = [[plain(c).strip() for _, c in row] for row in held if any(kind == "|" for kind, _ in row)]
+            rows = [[cell_text(c) for _, c in row] for row in held if any(kind == "|" for kind, _ in row)]
             tables.append([r for r in rows if any(r) and not (len(r) == 1 and ("{{" in r[0] or not r[0]))])
             held = None
         elif held is None:
@@ -65,10 +66,11 @@ def take_tables(text: str) -> tuple[str, list[list[list[str]]]]:
 
 
 def page_parts(title: str, text: str) -> Iterator[tuple[str, str, str, str]]:
-    """(id, part, section, text) of a page's sections, and of its tables: what each covers, and its rows."""
+    """(id, part, section, text) of a page's sections, and of its tables: what each covers, and its rows. Templates that carry facts
+    become text first; as one may hold a heading or a table, the page is cut after that."""
     safe = "wiki_" + re.sub(r"[\W_]", "_", title)
     place = 0
-    for heading, body in cut_at_headings(text):
+    for heading, body in cut_at_headings(prose(text)):
         rest, tables = take_tables(body)
         for rows in tables:
             yield f"{safe}_table_{place}_coverage", "coverage", heading, f"{title} table covers: {', '.join(r[0] for r in rows if r[0])}"[:MOST]
@@ -81,20 +83,58 @@ def page_parts(title: str, text: str) -> Iterator[tuple[str, str, str, str]]:
             yield f"wiki_{title}_{tail}" if heading else f"wiki_{title}", "section", heading, said
 
 
-def page_documents(pages: DataFrame) -> DataFrame:
-    """wiki_<title>[_<heading>], …_table_<i>_coverage and …_table_<i>_row_<r>; equal ids get _2, _3."""
+_PARTS = "parts array<struct<id: string, part: string, section: string, text: string>>"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Each row of pages (title, text and more) with its parts in place of its text: one row a page, so a page without parts is there too."""
+    rest = [c for c in pages.columns if c != "text"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(t, i, *p) for t, x in zip(f["title"], f["text"], strict=True) if x for i, p in enumerate(page_parts(t, x))]
-            yield pd.DataFrame(rows, columns=["title", "place", "id", "part", "section", "text"])
+            parts = [[dict(zip(("id", "part", "section", "text"), p, strict=True)) for p in page_parts(t, x)] if t and x else [] for t, x in zip(f["title"], f["text"], strict=True)]
+            yield f[rest].assign(parts=parts)
 
     ship(pages.sparkSession)
-    parts = pages.select("title", "text").mapInPandas(run, "title string, place int, id string, part string, section string, text string")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "text")
+    return pages.select(*rest, "text").mapInPandas(run, f"{kinds}, {_PARTS}")
+
+
+def as_documents(pages: DataFrame) -> DataFrame:
+    """Documents of parsed pages (title, parts)."""
+    parts = pages.select("title", F.posexplode("parts").alias("place", "p")).select("title", "place", "p.*")
     parts = collision_suffix(parts, "id", ["title", "place"])
     return document(parts, F.col("id"), "wiki", "wiki", F.col("title"), F.col("text"), section=F.col("section"), part=F.col("part"))
 
 
+def page_documents(pages: DataFrame) -> DataFrame:
+    """wiki_<title>[_<heading>], …_table_<i>_coverage and …_table_<i>_row_<r>; equal ids get _2, _3."""
+    return as_documents(parsed(pages.select("title", "text")))
+
+
+#: Fixed value: number of the way in which pages are parsed; pages that were parsed in another way are parsed again.
+PARSER = 2
+
+
+def cached_pages(store: Store, pages: DataFrame, parser: int = PARSER, name: str = "page_cache") -> DataFrame:
+    """Parsed pages (title, stamp, parser, parts, fresh) of pages (title, text, stamp; titles are unique).
+
+    A page whose title, stamp and parser the table `name` has is taken from it, and only the others are parsed (fresh). Then the
+    table holds the present pages and no others. A null stamp says that nothing is known of a page, so it is parsed each time.
+    """
+    number = F.lit(parser)
+    if store.exists(name):
+        known = store.read(name).filter(F.col("parser") == number).drop("fresh", "parser")
+        kept = known.join(pages.select("title", "stamp"), ["title", "stamp"]).select("title", "stamp", "parts", F.lit(False).alias("fresh"))
+        left = pages.join(kept.select("title"), "title", "left_anti")
+    else:
+        kept, left = None, pages
+    fresh = parsed(left.select("title", "stamp", "text")).withColumn("fresh", F.lit(True))
+    now = fresh if kept is None else kept.unionByName(fresh)
+    store.replace(name, now.select("title", "stamp", number.alias("parser"), "parts", "fresh"))
+    return store.read(name)
+
+
 def _template_values(name: str, value: str) -> Column:
     """The values of one parameter in all templates of a name, links shown as their text."""
     blocks = F.slice(F.split("text", r"\{\{" + name.replace(" ", "[ \\t]+")), 2, 1 << 20)

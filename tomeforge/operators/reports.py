@@ -95,3 +95,43 @@ def markdown_table(df: DataFrame, rows: int = 200, width: int = 200) -> str:
     body = ["| " + " | ".join(r) + " |" for r in found[:rows]]
     note = [f"…[truncated at {rows} rows]"] if len(found) > rows else []
     return "\n".join([f"{len(body)} rows.", *head, *body, *note])
+
+
+#: Characters of a table of results that are shown, and what is kept back for the note.
+TABLE, NOTE = 12_000, 60
+
+
+def middle_out(rows: DataFrame, group: list[str], order: list[str], line: str, most: int = TABLE) -> DataFrame:
+    """Of each group's rows the first and the last, whole, that fill half of `most` characters each (a line ends with one more); with n_left_out,
+    how many rows between them are left out. A group that fits is whole.
+
+    The lengths are summed from both ends by windows over one group, so a group is one result and not a table.
+    """
+    size = F.length(F.coalesce(F.col(line), F.lit(""))) + 1
+    forth = Window.partitionBy(*group).orderBy(*order)
+    back = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order])
+    both = rows.withColumn("_size", size).withColumn("_a", F.sum("_size").over(forth.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.sum("_size").over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*group)
+    both = both.withColumn("_all", F.sum("_size").over(whole)).withColumn("_keep", (F.col("_all") <= most) | (F.col("_a") <= most // 2) | (F.col("_b") <= most // 2))
+    both = both.withColumn("n_left_out", F.count(F.when(~F.col("_keep"), 1)).over(whole))
+    return both.filter("_keep").drop("_size", "_a", "_b", "_all", "_keep")
+
+
+def middle_out_text(head: list[str], rows: list[str], most: int = TABLE) -> str:
+    """The same for a result that the caller holds: head, then the rows that fit, and a note in the place of those that don't."""
+    room = most - sum(len(x) + 1 for x in head) - NOTE
+    if sum(len(x) + 1 for x in rows) <= room + NOTE:
+        return "\n".join([*head, *rows])
+
+    def fitting(lines: list[str]) -> int:
+        used, n = 0, 0
+        for x in lines:
+            used += len(x) + 1
+            if used > room // 2:
+                break
+            n += 1
+        return n
+
+    a = fitting(rows)
+    b = fitting(rows[a:][::-1])
+    return "\n".join([*head, *rows[:a], f"({len(rows) - a - b} rows in the middle are left out)", *rows[len(rows) - b :]])

@@ -23,7 +23,10 @@ def engine(spark, tmp_path_factory):
         "char_reports": spark.createDataFrame([("Al", "2020-01-02", json.dumps(sheet)), ("Al", "2020-01-09", json.dumps({"Report": "Storage"}))], "character string, ts string, report string"),
         "player_items": spark.createDataFrame([("Al", 1, "Clay Pot", "Rare", "Chest", 2, 5.0, "{}", "2020-01-03")], "character string, type_id int, name string, rarity string, storage string, stack int, value double, report string, ts string"),
         "abilities": spark.createDataFrame([("Stir", "Stir Well", "Tea Art", 1), ("Pour", "Pour", "tea art", 9), ("Dig1", "Dig", "Dig", 1)], "internal_name string, name string, skill string, level int"),
-        "items": spark.createDataFrame([("ClayPot", "Clay Pot", 12.0), ("ClayPotBig", "Big Clay Pot", 30.0)], "internal_name string, name string, value double"),
+        "items": spark.createDataFrame([("ClayPot", "Clay Pot", 12.0, 1), ("ClayPotBig", "Big Clay Pot", 30.0, 2), ("Frock", "Frock", 5.0, 3), ("FrockRecipe", "Tailoring: Frock", 700.0, 4), ("FrockRecipe2", "Tailoring: Fine Frock", 900.0, 5)], "internal_name string, name string, value double, code int"),
+        "sources": spark.createDataFrame([("item_1", 0, '{"type": "Barter", "npc": "NPC_Ida"}'), ("item_1", 1, '{"type": "Quest", "questId": 7}'), ("item_1", 2, '{"recipeId": 99}'), ("item_1", 3, '{"itemTypeId": 5}'), ("item_2", 0, '{"npc": "x"}')], "item_key string, seq int, entries string"),
+        "npcs": spark.createDataFrame([("NPC_Ida", "Ida the Cook")], "key string, name string"),
+        "stall_price_observations": spark.createDataFrame([("2020-01-08", "Clay Pot", 1, 11.0, "Corner", "Bo", "ocr", "chipped"), ("2020-01-09", "Clay Pot", 2, 0.0, None, None, None, None)], "observed_at string, item_name string, quantity int, price_unit double, stall_label string, owner_name string, source string, notes string"),
         "quests": spark.createDataFrame([(7, "Pots Wanted", json.dumps([{"Type": "Collect", "ItemName": "ClayPot", "Number": 4}]), json.dumps([{"T": "WorkOrderCurrency", "Amount": 2000}, {"T": "SkillXp", "Skill": "Dig", "Xp": 50}]))], "id int, name string, objectives string, rewards string"),
         "stall_events": spark.createDataFrame([(1, "Al", "Clay Pot", "2020-01-01 10:00", "2020-01-01 10:00", "added", None, 5, None, None, 0), (2, "Al", "Clay Pot", "2020-01-01 11:00", "2020-01-01 11:00", "visible", None, 5, 9.0, None, 0), (3, "Al", "Clay Pot", "2020-01-02 10:00", "2020-01-02 10:00", "bought", "Di", 2, 9.0, 18.0, 0), (4, "Al", "Rope", "2020-01-02 10:00", "2020-01-02 10:00", "added", None, 1, None, None, 0)], "id int, owner string, item string, event_at string, event_timestamp string, action string, player string, quantity int, price_unit double, price_total double, ignored int"),
         "chat_events": spark.createDataFrame([("20-01-01", "Trade", "Cy", "selling clay pot 500 each"), ("20-01-02", "Trade", "Di", "who wants a clay pot?"), ("20-01-03", "Combat", "Di", "clay pot 500g")], "ts string, channel string, speaker string, text string"),
@@ -48,7 +51,9 @@ def test_search_tools(engine):
 
 
 def test_sql_and_errors(engine):
-    assert engine.call("sql_query", sql="select name, value from items order by value") == "2 rows.\n| name | value |\n| --- | --- |\n| Clay Pot | 12 |\n| Big Clay Pot | 30 |"
+    assert engine.call("sql_query", sql="select name, value from items where code < 3 order by value") == "2 rows.\n| name | value |\n| --- | --- |\n| Clay Pot | 12 |\n| Big Clay Pot | 30 |"
+    long = engine.call("sql_query", sql="select i.id, repeat('x', 150) t from range(150) i").split("\n")
+    assert len("\n".join(long)) <= 12_000 and all(x.startswith("|") for x in long[1:3]) and any("rows in the middle are left out" in x for x in long) and long[-1].startswith("| 149 |")
     assert "error" in engine.call("sql_query", sql="drop view items") and "SQL error" in engine.call("sql_query", sql="selec 1")
     assert engine.call("nothing").startswith("Unknown tool: nothing")
     assert len(capped("line\n" * 5000)) < 12_100
@@ -56,19 +61,46 @@ def test_sql_and_errors(engine):
 
 def test_player_sections(engine):
     ask = lambda section, **a: engine.call("player_state", section=section, **a)
-    assert ask("summary") == "character Al (server S, ts 2020-01-02)\ntop skills by level: Dig 40(+0), Tea Art 12(+2), Unknown None(+0)\ncurrencies: gold 5\n2 active quests, 45 completed quests"
-    assert ask("skills").startswith("3 skills (ts 2020-01-02):\nDig 40(+0)") and ask("currencies") == "currencies (ts 2020-01-02): gold 5"
-    assert ask("quests").startswith("active (2): a, b\ncompleted (45): q0") and ask("quests").endswith("(+5 more)")
-    assert ask("favor") == "1 NPCs with non-Neutral favor (ts 2020-01-02): Ida [Friends]"
-    assert ask("items", query="pot").startswith("1 item rows (ts 2020-01-03):") and ask("items", query="zz") == "No items matching 'zz'."
-    assert ask("abilities", skill="Tea Art").splitlines()[1:] == ["known in this family: 1 | missing: 1 | sheet-only internals: 1", "KNOWN: Stir Well", "KNOWN non-skill abilities (Unknown bucket): Wave", "MISSING (name [internal] — unlock level):", "- Pour [Pour] (9)"]
-    stall = ask("stall", query="clay pots")
-    assert "SOLD (1 sales" in stall and "ASKING (1 listing" in stall and "base value" in stall and "~500 each" in stall
-    assert "selling clay pot 500 each" in ask("stall", query="clay pot") and "who wants" not in ask("stall", query="clay pot")
-    assert ask("stall_inventory").splitlines() == ["CURRENTLY LISTED (1 item):", "  Clay Pot x3 @ 3@9 each", "UNPRICED — needs pricing (1 item):", "  Rope x1 (added, never priced)"]
+    assert ask("summary").splitlines() == ["Al, as of 2020-01-02", "Highest skills (3): Dig 40+0, Tea Art 12+2, Unknown ?+0", "Currencies (1): gold: 5", "2 active quests", "45 completed quests", "Server: S"]
+    assert ask("skills").splitlines()[1].startswith("Skills (3): Dig 40+0") and ask("currencies").endswith("Currencies (1): gold: 5")
+    assert ask("quests").splitlines()[1] == "Active quests (2): a, b" and ask("quests").splitlines()[2].startswith("Completed quests (45, the first 40): q0, ")
+    assert ask("favor").splitlines()[1] == "Persons who are not neutral (1): Ida (Friends)"
+    assert ask("items", query="pot").startswith("Things of Al, as of 2020-01-03\n| type_id") and ask("items", query="zz") == "Al has nothing like 'zz'."
+    assert ask("abilities", skill="Tea Art").splitlines()[1:] == ["Learnt (1): Stir Well", "To be learnt, by level (1):", "- 9: Pour [Pour]", "On the sheet, but not in the tables (1): Odd", "Learnt, of no skill (1): Wave"]
+    assert "no abilities of a skill" in ask("abilities", skill="Cup") and "can't be told" in ask("abilities", skill="Dig")
     assert "unknown section" in ask("shoes")
 
 
+def test_stall(engine):
+    ask = lambda section, **a: engine.call("player_state", section=section, **a)
+    assert ask("stall", query="clay pots").splitlines() == [
+        "Value in the tables (1) - what a vendor pays at least, not a price that anyone asked for:",
+        "- Clay Pot: 12",
+        "Work orders (1):",
+        "- 4 x Clay Pot pays 2,000 (500 a piece) and 50 Dig experience: Pots Wanted (quest 7)",
+        "Prices below are of this stall's own listings and sales; they are no sample of the market.",
+        "Sold, oldest first (1) - each is a sale of its own:",
+        "- 2020-01-02 10:00: 2 x Clay Pot for 9 each, 18 in all, to Di",
+        "Asked for, oldest first (1) - may not have been sold:",
+        "- 2020-01-01 11:00: 5 x Clay Pot for 9 each (visible)",
+        "Seen at other stalls, newest first (2):",
+        "- 2020-01-09: 2 x Clay Pot, without a price yet",
+        "- 2020-01-08: 1 x Clay Pot, 11 each, at Corner, of Bo, by ocr, chipped",
+        "Where it comes from (3):",
+        "- Barter: Ida the Cook",
+        "- Quest: Pots Wanted",
+        "- source: 99",
+    ]
+    chat = ask("stall", query="clay pot").splitlines()
+    assert "- 20-01-01 Trade Cy: selling clay pot 500 each" in chat and not any("who wants" in x or "500g" in x for x in chat)
+    # things without any price: the recipe of that name is what is traded, and all of a family are listed
+    assert ask("stall", query="Frock").splitlines() == ["Value in the tables (1) - what a vendor pays at least, not a price that anyone asked for:", "- Tailoring: Frock: 700", "Recipes of that name (2):", "- Tailoring: Fine Frock: 900", "- Tailoring: Frock: 700", "The stall has no history of 'Frock'.", "Where it comes from: not known either"]
+    assert ask("stall", query="Rope").splitlines() == ["The stall has no prices of 'Rope'.", "Where it comes from: not known either"]
+    assert ask("stall").splitlines()[1].startswith("Sold, oldest first (1)")
+    assert ask("stall_inventory").splitlines() == ["Listed now (1):", "- Clay Pot: 3 in all, 3 for 9 each", "Without a price (1):", "- Rope: 1 (added, never priced)"]
+    assert ask("stall_inventory", query="moon") == "The stall never held anything like 'moon'."
+
+
 def test_index_refresh(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "gamma")], "id int, text string")
     index = search.Index(spark, str(tmp_path / "i"), "id").build(docs, "text")

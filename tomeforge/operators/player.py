@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeforge.functions.text import has_price, name_like, spaced_words
-from tomeforge.operators.lookup import exact_else_like, same_name, shortest_match
+from tomeforge.operators.lookup import exact_else_like, first_of_kinds, prefix_family, same_name, shortest_match
 
 #: Channels in which other players quote prices.
 SOCIAL = ("Trade", "Global", "Nearby", "Help", "Tell", "Guild", "Party")
 
 
+#: Events of a stall that are shown; recipes of a family; what the names of recipes begin with.
+NEWEST, MOST_RECIPES = 120, 40
+RECIPE_PREFIXES = (
+    "Tailoring:", "Cooking:", "Blacksmithing:", "Carpentry:", "Alchemy:", "Brewing:", "Cheesemaking:", "Fletching:", "Jewelry Crafting:", "Leatherworking:", "Masonry:", "Shoe Making:",
+    "Sigil Scripting:", "Textile Creation:", "Toolcrafting:", "Weaponsmithing:",
+)
+
+
 class Ask(ValueError):
     """A question that can't be answered as it was put; the text says why."""
 
@@ -20,14 +30,14 @@ def character(reports: DataFrame, wanted: str | None = None, stall: DataFrame |
     """The only character, the one asked for or, for stall questions, the only owner of a stall if that is one of the characters."""
     names = [r[0] for r in reports.select("character").distinct().orderBy("character").limit(101).collect()]
     if not names:
-        raise Ask("No session data in store.")
+        raise Ask("There are no reports of any character.")
     if len(names) == 1 or wanted in names:
         return names[0] if len(names) == 1 else wanted
     if stall is not None:
         owners = [r[0] for r in stall.filter("owner is not null and owner <> ''").select("owner").distinct().limit(2).collect()]
         if len(owners) == 1 and owners[0] in names:
             return owners[0]
-    raise Ask("Multiple characters in store; pass character= one of: " + ", ".join(names))
+    raise Ask("Which character? Ask with character= one of: " + ", ".join(names))
 
 
 def latest_report(reports: DataFrame, who: str) -> DataFrame:
@@ -84,7 +94,7 @@ def ability_audit(report: DataFrame, abilities: DataFrame, skill: str) -> DataFr
     return both.select("internal_name", "name", "level", state.alias("state")).unionByName(other)
 
 
-def stall_history(events: DataFrame, query: str | None = None, n: int = 120) -> DataFrame:
+def stall_history(events: DataFrame, query: str | None = None, n: int = NEWEST) -> DataFrame:
     """The newest n events as (kind, event_at, item, quantity, price_unit, price_total, player, action), oldest first: sold, asking (40 at most) and others."""
     own = events.filter("ignored = 0")
     own = own.filter(name_like(F.col("item"), query)) if query else own
@@ -111,6 +121,31 @@ def base_value(items: DataFrame, query: str) -> DataFrame:
     return shortest_match(exact_else_like(items.select("name", "value"), "name", query), "name", query)
 
 
+def recipe_family(items: DataFrame, query: str, prefixes: tuple[str, ...] = RECIPE_PREFIXES) -> DataFrame:
+    """(name, value, n_all) of the first MOST_RECIPES recipes of which the name, after one of the prefixes, holds the query."""
+    return prefix_family(items.select("name", "value"), "name", prefixes, query, MOST_RECIPES)
+
+
+def value_or_recipe(items: DataFrame, query: str, prefixes: tuple[str, ...] = RECIPE_PREFIXES) -> DataFrame:
+    """As base_value, but where that is no recipe and there is a recipe of the name, the recipe with the shortest name: that is what is traded."""
+    is_recipe = F.coalesce(reduce(lambda a, b: a | b, [F.col("name").startswith(p + " ") for p in prefixes]), F.lit(False))
+    recipe = recipe_family(items, query, prefixes).select("name", "value").orderBy(F.length("name"), "name").limit(1)
+    both = base_value(items, query).withColumn("_p", F.when(is_recipe, 0).otherwise(2)).unionByName(recipe.withColumn("_p", F.lit(1)))
+    return both.orderBy("_p").limit(1).select("name", "value")  # two rows at most
+
+
+def sources_of(items: DataFrame, sources: DataFrame, query: str, npcs: DataFrame | None = None, quests: DataFrame | None = None, recipes: DataFrame | None = None) -> DataFrame:
+    """(seq, type, target) of where the queried item comes from, in order: a person, quest or recipe by name, or its code if the table doesn't
+    have it. items: code, name; sources: item_key, seq, entries (JSON); npcs: key, name; quests and recipes: id, name."""
+    item = shortest_match(exact_else_like(items.select("code", "name"), "name", query), "name", query)
+    own = sources.join(F.broadcast(item.select(F.concat(F.lit("item_"), "code").alias("item_key"))), "item_key")  # one row
+    at = lambda k: F.nullif(F.get_json_object("entries", f"$.{k}"), F.lit(""))
+    own = own.select("seq", F.coalesce(at("type"), F.lit("source")).alias("type"), at("npc").alias("npc"), F.nullif(at("questId"), F.lit("0")).alias("quest"), F.nullif(at("recipeId"), F.lit("0")).alias("recipe"))
+    none = items.sparkSession.createDataFrame([], "code string, name string")
+    names = lambda t, key: none if t is None else t.select(F.col(key).cast("string").alias("code"), "name")
+    return first_of_kinds(own, [("npc", names(npcs, "key")), ("quest", names(quests, "id")), ("recipe", names(recipes, "id"))]).select("seq", "type", "target").orderBy("seq", "target")
+
+
 def observations(seen: DataFrame, query: str, n: int = 20) -> DataFrame:
     """What other players' stalls were seen to sell, newest first."""
     return seen.filter(name_like(F.col("item_name"), query)).orderBy(F.desc("observed_at"), "item_name").limit(n)

@@ -9,7 +9,6 @@ is lost, readers have the old one. Segments of like size are merged when there a
 
 from __future__ import annotations
 
-import json
 import uuid
 from functools import reduce
 
@@ -21,6 +20,7 @@ from tomeforge.functions.text import STOPWORDS
 from tomeforge.operators import matching
 from tomeforge.operators.matching import Expression
 from tomeforge.runtime import ship
+from tomeforge.sinks.versions import Versions
 
 K1, B = 1.2, 0.75
 #: Segments of one size class that are merged; each class holds segments FAN times as large as the one before.
@@ -61,34 +61,16 @@ class Index:
 
     def __init__(self, spark: SparkSession, root: str, key: str):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._system = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._versions = Versions(spark, f"{self.root}/manifest")
         ship(spark)
 
-    # manifests
-
-    def _numbers(self) -> list[int]:
-        folder = self._path(f"{self.root}/manifest")
-        if not self._system.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()) for s in self._system.listStatus(folder) if s.getPath().getName().isdigit())
-
     def manifest(self) -> dict:
         """number, segments (id: n documents), dead (table: its segments), columns, n and words of what is live."""
-        numbers = self._numbers()
-        if not numbers:
-            return {"number": -1, "segments": {}, "dead": {}, "columns": [], "n": 0, "words": 0}
-        return json.loads(self.spark.read.text(f"{self.root}/manifest/{numbers[-1]:09d}", wholetext=True).first()[0])
+        number, found = self._versions.latest()
+        return {"segments": {}, "dead": {}, "columns": [], "n": 0, "words": 0, **(found or {}), "number": number}
 
     def _commit(self, manifest: dict, old: dict) -> None:
-        """Puts the manifest that was made from the old one in place, unless another has come after that."""
-        number = old["number"] + 1
-        manifest = {**manifest, "number": number}
-        made, place = f"{self.root}/_manifest-{uuid.uuid4().hex}", f"{self.root}/manifest/{number:09d}"
-        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(made)
-        self._system.mkdirs(self._path(f"{self.root}/manifest"))
-        if self._system.exists(self._path(place)) or not self._system.rename(self._path(made), self._path(place)):
-            raise OSError(f"another change came first: {place}")
+        self._versions.commit(manifest, old["number"])
 
     # segments
 
@@ -166,13 +148,11 @@ class Index:
 
     def vacuum(self) -> int:
         """Removes what no reader of the newest manifest needs; how many folders went. Call it when nobody reads older ones."""
-        now, gone = self.manifest(), 0
-        newest = {f"{n:09d}" for n in self._numbers()[-1:]}
-        for folder, keep in (("segments", set(now["segments"])), ("dead", set(now["dead"])), ("manifest", newest), ("", {"segments", "dead", "manifest"})):
-            at = self._path(f"{self.root}/{folder}" if folder else self.root)
-            for s in self._system.listStatus(at) if self._system.exists(at) else ():
-                if s.getPath().getName() not in keep:
-                    gone += bool(self._system.delete(s.getPath(), True))
+        now, gone, versions = self.manifest(), 0, self._versions
+        versions.forget(now["number"])
+        for folder in ("segments", "dead"):
+            for name in versions.names(f"{self.root}/{folder}"):
+                gone += name not in now[folder] and versions.delete(f"{self.root}/{folder}/{name}")
         return gone
 
     def documents(self) -> DataFrame:

@@ -22,6 +22,14 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)$", 1)
 
 
+def listed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(source_file, length, stamp) of the files of a folder, by name; stamp is the time of the last change. Contents are not read."""
+    if not _exists(spark, f"{folder}/{pattern}"):
+        return spark.createDataFrame([], "source_file string, length bigint, stamp string")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return found.select(file_name(F.col("path")).alias("source_file"), "length", F.col("modificationTime").cast("string").alias("stamp"))
+
+
 def numbered_key(key: Column) -> Column:
     """The number after a key's last underscore, or null."""
     return F.regexp_extract(key, "_([^_]*)$", 1).try_cast("bigint")

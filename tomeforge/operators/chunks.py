@@ -73,17 +73,37 @@ def by_characters(text: str, limit: int) -> list[str]:
     return _gather(units, len, limit, "\n\n", cut, gap=2) if units else [text]
 
 
-def by_tokens(text: str, budget: int, count: Counter) -> list[str]:
-    """Paragraphs, else lines, else words gathered up to `budget` tokens; a word of more stays whole."""
+def _halved(word: str, budget: int, count: Counter) -> list[str]:
+    """A word of too many tokens, cut in half until each part has few enough or is one character."""
+    if count(word) <= budget or len(word) < 2:
+        return [word]
+    half = len(word) // 2
+    return [*_halved(word[:half], budget, count), *_halved(word[half:], budget, count)]
+
+
+def by_tokens(text: str, budget: int, count: Counter, whole_words: bool = True) -> list[str]:
+    """Paragraphs, else lines, else words gathered up to `budget` tokens; a word of more stays whole, or is cut."""
     if budget <= 0:
         raise ValueError("a budget must be positive")
     if count(text) <= budget:
         return [text]
-    words = lambda line: _gather((w for w in line.split(" ") if w), count, budget, " ", lambda w: [w])
+    words = lambda line: _gather((w for w in line.split(" ") if w), count, budget, " ", lambda w: [w] if whole_words else _halved(w, budget, count))
     rows = lambda unit: _gather(_paragraphs(unit, "\n") or [unit], count, budget, "\n", words)
     return _gather(_paragraphs(text, "\n\n"), count, budget, "\n\n", rows)
 
 
+def within_window(chunks: list[str], overlap: int, window: int, count: Counter) -> list[str]:
+    """The chunks, each with as much overlap as leaves it in a window of tokens; a chunk that doesn't fit alone is cut first."""
+    cut = [p for c in chunks for p in by_tokens(c, window, count, whole_words=False)]
+    out = []
+    for alone, with_overlap in zip(cut, overlapping(cut, overlap), strict=True):
+        tail = with_overlap[: len(with_overlap) - len(alone)].split()
+        while tail and count(" ".join([*tail, alone])) > window:
+            tail = tail[1 + len(tail) // 8 :]
+        out.append(" ".join([*tail, alone]) if tail and alone != with_overlap else alone if not tail else with_overlap)
+    return out
+
+
 def overlapping(chunks: list[str], overlap: int = OVERLAP) -> list[str]:
     """Each chunk after the first begins with the last characters of the one before it, from a word's start."""
     out = chunks[:1]
@@ -94,14 +114,17 @@ def overlapping(chunks: list[str], overlap: int = OVERLAP) -> list[str]:
     return out
 
 
-def split(text: str, kind: str = "", count: Counter | None = None, budget: int = BUDGET, overlap: int = OVERLAP, tokens: int = TOKENS) -> list[str]:
-    """The chunks of a document of a type; with a counter no chunk of several words has more than `tokens` tokens."""
+def split(text: str, kind: str = "", count: Counter | None = None, budget: int = BUDGET, overlap: int = OVERLAP, tokens: int = TOKENS, window: int | None = None) -> list[str]:
+    """The chunks of a document of a type; with a counter no chunk of several words has more than `tokens` tokens before its overlap,
+    and with a window none has more than that with it."""
     if kind in TOKEN_TYPES:
         chunks = by_tokens(text, tokens, count) if count else by_characters(text, WITHOUT_COUNTER)
     else:
         chunks = by_characters(text, budget)
     if count:
         chunks = [part for c in chunks for part in by_tokens(c, tokens, count)]
+        if window:
+            return within_window(chunks, overlap, window, count)
     return overlapping(chunks, overlap)
 
 
@@ -110,21 +133,23 @@ def words_and_marks(text: str) -> int:
     return len(re.findall(r"\w+|[^\w\s]", text))
 
 
-def chunked(docs: DataFrame, key: str, text: str, kind: str | None = None, count: Counter | None = None, budget: int = BUDGET) -> DataFrame:
+def chunked(docs: DataFrame, key: str, text: str, kind: str | None = None, count: Counter | None = None, budget: int = BUDGET, window: int | None = None) -> DataFrame:
     """id, parent_id (null for a document in one piece, which keeps its id), chunk_index, chunk_count, text.
 
+    count: how many tokens a text has, as `wordpiece.WordPieces` tells; a character has one at most. window: the most that a chunk may have.
     A null text is an empty one and gives one empty chunk. Only documents that may need more than one chunk are sent to Python.
     """
     own = docs.select(F.col(key).cast("string").alias("id"), F.coalesce(F.col(kind) if kind else F.lit(""), F.lit("")).alias("kind"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # a token has a character at least, and characters are counted alike on both sides
-    least = F.when(F.col("kind").isin(*TOKEN_TYPES), F.lit(TOKENS if count else WITHOUT_COUNTER)).otherwise(F.lit(min(budget, TOKENS) if count else budget))
+    tokens = min(TOKENS, window or TOKENS)
+    least = F.when(F.col("kind").isin(*TOKEN_TYPES), F.lit(tokens if count else WITHOUT_COUNTER)).otherwise(F.lit(min(budget, tokens) if count else budget))
     short = own.filter(F.length("text") <= least).select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for ident, of, body in zip(f["id"], f["kind"], f["text"], strict=True):
-                parts = split(body, of, count, budget)
+                parts = split(body, of, count, budget, window=window)
                 whole = len(parts) == 1
                 rows += [(ident if whole else f"{ident}_chunk_{i}", None if whole else ident, i, len(parts), p) for i, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["id", "parent_id", "chunk_index", "chunk_count", "text"])

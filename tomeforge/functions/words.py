@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -10,8 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_WORD = re.compile(r"[^\W_]+")
-
 
 def _without_marks() -> dict[int, str | None]:
     """Letters that are a base and marks, to the base; marks of their own, to nothing. Made from the Unicode tables."""
@@ -28,11 +25,21 @@ _BARE = _without_marks()
 
 def folded(text: str) -> str:
     text = text.lower()
-    return text if text.isascii() else text.translate(_BARE)
+    if not text.isascii():
+        for c in set(text):  # a text has few different letters, and each is replaced at once
+            if ord(c) in _BARE:
+                text = text.replace(c, _BARE[ord(c)] or "")
+    return text
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(folded(text)) if text else []
+    if not text:
+        return []
+    text = folded(text)
+    for c in set(text):
+        if not c.isalnum():
+            text = text.replace(c, " ")
+    return text.split()
 
 
 def _places(found: list[str]) -> dict[str, list[int]]:
@@ -42,39 +49,40 @@ def _places(found: list[str]) -> dict[str, list[int]]:
     return out
 
 
-def postings(docs: DataFrame, key: str, *columns: str) -> DataFrame:
+def postings(docs: DataFrame, key: str, *columns: str, places: bool = True) -> DataFrame:
     """(key, term, field, tf, dl, places): a row for each word of each column of each row of docs.
 
-    field is the column's number, tf how often the word stands there, places where (from 0, ascending), dl the number of words of all
-    the row's columns. A row's words are counted in the row itself, so nothing is shuffled; keys that repeat give rows that repeat.
+    field is the column's number, tf how often the word stands there, places (if wanted) where, from 0 on, dl the number of words of
+    all the row's columns. A row's words are counted in the row itself, so nothing is shuffled; keys that repeat give rows that repeat.
     """
+    names = [key, "term", "field", "tf", "dl", *["places"] * places]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [batch.column(i + 1).to_pylist() for i in range(len(columns))]
-            row, term, field, tf, dl, places = [], [], [], [], [], []
+            held: list[list] = [[] for _ in names]
             for r in range(batch.num_rows):
                 found = [words(t[r]) for t in texts]
                 total = sum(map(len, found))
                 for f, own in enumerate(found):
-                    for w, at in _places(own).items():
-                        row.append(r)
-                        term.append(w)
-                        field.append(f)
-                        tf.append(len(at))
-                        places.append(at)
-                        dl.append(total)
-                if len(row) > 200_000:
-                    yield out(batch, row, term, field, tf, dl, places)
-                    row, term, field, tf, dl, places = [], [], [], [], [], []
-            yield out(batch, row, term, field, tf, dl, places)
-
-    def out(batch: pa.RecordBatch, row: list, term: list, field: list, tf: list, dl: list, places: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.string()), pa.array(field, pa.int32()), pa.array(tf, pa.int64()), pa.array(dl, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=[key, "term", "field", "tf", "dl", "places"])
+                    of = _places(own) if places else Counter(own)
+                    n = len(of)
+                    values = [[r] * n, of, [f] * n, map(len, of.values()) if places else of.values(), [total] * n, *[of.values()] * places]
+                    for column, more in zip(held, values, strict=True):
+                        column.extend(more)
+                if len(held[0]) > 200_000:
+                    yield out(batch, held)
+                    held = [[] for _ in names]
+            yield out(batch, held)
+
+    def out(batch: pa.RecordBatch, held: list[list]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        rest = [pa.array(column, kind) for column, kind in zip(held[1:], kinds, strict=False)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held[0], pa.int64())), *rest], names=names)
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     texts = docs.selectExpr(f"`{key}`", *(f"cast(`{c}` as string) as `_c{i}`" for i, c in enumerate(columns)))
-    return texts.mapInArrow(run, f"`{key}` {kind}, term string, field int, tf long, dl long, places array<int>")
+    return texts.mapInArrow(run, f"`{key}` {kind}, term string, field int, tf long, dl long" + ", places array<int>" * places)
 
 
 def sized(docs: DataFrame, *columns: str) -> DataFrame:
@@ -97,10 +105,11 @@ def prefix_counts(docs: DataFrame, key: str, text: str, prefixes: list[str]) ->
         for batch in batches:
             dl, hits = [], [[] for _ in prefixes]
             for t in batch.column(1).to_pylist():
-                found = Counter(words(t))
-                dl.append(sum(found.values()))
+                found = words(t)
+                dl.append(len(found))
+                line = " " + " ".join(found)
                 for own, p in zip(hits, prefixes, strict=True):
-                    own.append(sum(n for w, n in found.items() if w.startswith(p)))
+                    own.append(line.count(" " + p))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl, pa.int64()), *(pa.array(h, pa.int64()) for h in hits)], names=[key, "dl", *(f"f{i}" for i in range(len(prefixes)))])
 
     kind = docs.select(key).schema[0].dataType.simpleString()

@@ -40,7 +40,7 @@ def query_terms(question: str) -> list[str]:
 def postings(docs: DataFrame, key: str, *columns: str) -> DataFrame:
     """(key, term, tf, dl) over all the columns together."""
     ship(docs.sparkSession)
-    rows = W.postings(docs, key, *columns)
+    rows = W.postings(docs, key, *columns, places=False)
     return rows.select(key, "term", "tf", "dl") if len(columns) == 1 else rows.groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
 
 

@@ -140,8 +140,8 @@ def _chat(b: Build) -> None:
     now = files.listed(b.spark, b.paths.get("chat", "/nowhere"), "Chat-*.log").select("source_file", "stamp", "length")
     known = b.table("chat_files") if b.store.exists("chat_files") else now.limit(0)
     changed = now.join(known, ["source_file", "stamp", "length"], "left_anti")
-    lines = files.log_lines(b.spark, b.paths.get("chat", "/nowhere")).join(changed.select("source_file"), "source_file", "left_semi")
-    b.store.replace_files("chat_events", chat.folded(lines))
+    lines = files.log_pieces(b.spark, b.paths.get("chat", "/nowhere")).join(changed.select("source_file"), "source_file", "left_semi")
+    b.store.replace_files("chat_events", chat.folded(lines, piece="piece"))
     b.store.replace("chat_files", now)
 
 

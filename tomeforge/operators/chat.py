@@ -82,21 +82,31 @@ def classified(lines: DataFrame) -> DataFrame:
     return out.select(*lines.columns, kind.alias("kind"), F.coalesce("stamp", F.lit("")).alias("ts"), channel.alias("channel"), speaker.alias("speaker"), said.alias("said"))
 
 
-def folded(lines: DataFrame, file: str = "source_file", number: str = "line_no") -> DataFrame:
-    """(ts, channel, speaker, text, source_file, line_no) of each row of each file; lines: file, number, value.
+def folded(lines: DataFrame, file: str = "source_file", number: str = "line_no", piece: str | None = None) -> DataFrame:
+    """(ts, channel, speaker, text, source_file, line_no) of each row of each file; lines: file, number, value and, if files come in pieces, piece.
 
     A facts-only line is joined to the row before it if that row has a speaker, else it is a row of its own, so whether it begins one
     depends on the last line that surely began one and on whether other such facts stand between: a facts line after a row without
     a speaker begins a row without one, and so do all facts after it up to the next sure beginning. Lines before a file's first row are dropped.
-    Files are partitions of the windows: a log of a day is bounded, many are spread.
+
+    A piece is a stretch of a file's lines; its number grows along the file. All that a piece needs from those before it is whether the
+    last sure beginning had a speaker and how many rows began, and all that it gives is the same: two scans over the pieces' summaries
+    carry it, and no task holds more than a piece (or a row) of a file. Without pieces each file is one.
     """
-    by_line = Window.partitionBy(file).orderBy(number)
-    sofar = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = classified(lines).filter(~F.col("kind").isin("blank", "lost"))
-    social = F.last(F.when(F.col("kind") == "row", F.col("speaker").isNotNull()), ignorenulls=True).over(sofar)
-    begins = (F.col("kind") == "row") | ((F.col("kind") == "facts") & ~F.coalesce(F.col("social"), F.lit(False)))
-    marked = known.withColumn("social", social).withColumn("begins", begins)
-    marked = marked.withColumn("row", F.sum(F.col("begins").cast("long")).over(sofar)).filter("row > 0")
+    cut = F.lit(0).cast("long") if piece is None else F.col(piece).cast("long")
+    known = classified(lines.withColumn("_piece", cut)).filter(~F.col("kind").isin("blank", "lost"))
+    sofar = Window.partitionBy(file, "_piece").orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(file).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # over summaries
+    sure = F.when(F.col("kind") == "row", F.col("speaker").isNotNull())
+    ends = known.groupBy(file, "_piece").agg(F.max_by(sure, F.when(sure.isNotNull(), F.col(number))).alias("_end"))
+    carried = ends.select(file, "_piece", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    known = known.withColumn("_social", F.last(sure, ignorenulls=True).over(sofar)).join(carried, [file, "_piece"])
+    social = F.coalesce("_social", "_carried", F.lit(False))
+    marked = known.withColumn("begins", (F.col("kind") == "row") | ((F.col("kind") == "facts") & ~social)).drop("_social", "_carried")
+    counts = marked.groupBy(file, "_piece").agg(F.sum(F.col("begins").cast("long")).alias("_n"))
+    counts = counts.select(file, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    marked = marked.withColumn("_row", F.sum(F.col("begins").cast("long")).over(sofar)).join(counts, [file, "_piece"])
+    marked = marked.withColumn("row", F.col("_row") + F.col("_before")).filter("row > 0")
     part = F.struct(F.col(number).alias("at"), F.when(F.col("begins"), F.col("said")).otherwise(F.trim("value")).alias("said"))
     first = lambda c: F.min(F.when(F.col("begins"), F.col(c)))
     rows = marked.groupBy(file, "row").agg(first("ts").alias("ts"), first("channel").alias("channel"), first("speaker").alias("speaker"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["said"]), " ").alias("text"), first(number).alias("line_no"))

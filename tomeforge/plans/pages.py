@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tomeforge.catalog import register, table
 from tomeforge.documents import barter, wiki_docs
 from tomeforge.functions import wiki
-from tomeforge.operators import calls, reports
+from tomeforge.operators import calls, chat, reports
 from tomeforge.runtime import shared_folder
 from tomeforge.sinks.tables import Store
 
@@ -95,3 +95,24 @@ register(
     m as (select *, t <= 3000 or a <= 1500 or b <= 1500 as keep from s), n as (select *, count(*) filter (where not keep) over (partition by source) as n_left_out from m)
     select source, doc_id, n_left_out from n where keep""",
 )
+
+#: A log in which every shape of line follows every other; event_id is the line's number and its shape follows from a mix of it.
+_SHAPE = "(event_id * 7 + event_id div 9 * 5 + event_id div 31) % 9"
+_LINES = f"""case {_SHAPE}
+    when 0 then concat('20-01-01 10:00:00\\t[Trade] U', event_id, ': said ', event_id) when 1 then concat('  more ', event_id, ' ') when 2 then concat('[Item: A', event_id, '][Item: B]')
+    when 3 then concat('20-01-01 10:00:00\\t[Error] text ', event_id) when 4 then concat('[Recipe: R', event_id, '] [Item: C [x]]') when 5 then ' '
+    when 6 then concat('[the bell ', event_id, ']') when 7 then concat('20-01-01 10:00:00\\tnothing ', event_id) else concat('20-01-01 10:00:00\\t[Status] got [Item: X', event_id, '] [Item: Y]') end"""
+register(
+    "chat_shapes",
+    lambda s, d: chat.folded(
+        table(s, d, "events").select(F.concat(F.lit("f"), F.col("user_id") % 5).alias("source_file"), F.col("event_id").alias("line_no"), F.expr("event_id div 40").alias("piece"), F.expr(_LINES).alias("value")), piece="piece"
+    ),
+    f"""with l as (select 'f' || user_id % 5 as source_file, event_id as line_no, {_SHAPE.replace(" div ", " // ")} as k from events),
+    s as (select *, last_value(case when k = 0 then true when k in (3, 6, 8) then false end ignore nulls) over (partition by source_file order by line_no rows unbounded preceding) as social from l where k not in (5, 7)),
+    b as (select *, k in (0, 3, 6, 8) or (k in (2, 4) and not coalesce(social, false)) as begins from s),
+    r as (select *, sum(begins::int) over (partition by source_file order by line_no) as n from b),
+    t as (select *, case when k = 0 then 'said ' || line_no when k = 1 then 'more ' || line_no when k = 3 then 'text ' || line_no when k = 6 then '[the bell ' || line_no || ']' when k = 8 then 'X' || line_no || '; Y'
+        when k = 2 and begins then 'A' || line_no || '; B' when k = 2 then '[Item: A' || line_no || '][Item: B]' when begins then 'R' || line_no || '; C [x]' else '[Recipe: R' || line_no || '] [Item: C [x]]' end as part from r where n > 0)
+    select case when max(k) filter (where begins) in (0, 3, 8) then '20-01-01 10:00:00' else '' end as ts, case max(k) filter (where begins) when 0 then 'Trade' when 3 then 'Error' when 6 then 'system' else 'item' end as channel,
+    case when max(k) filter (where begins) = 0 then 'U' || max(line_no) filter (where begins) end as speaker, string_agg(part, ' ' order by line_no) as text, source_file, max(line_no) filter (where begins) as line_no from t group by source_file, n""",
+)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeforge.operators.sync import collision_suffix
@@ -103,6 +103,19 @@ def log_lines(spark: SparkSession, folder: str, pattern: str = "Chat-*.log") ->
     return each.select("source_file", (F.col("place") + 1).alias("line_no"), "value")
 
 
+def log_pieces(spark: SparkSession, folder: str, pattern: str = "Chat-*.log") -> DataFrame:
+    """(source_file, piece, line_no, value) as log_lines, but of files that are read in pieces (spark.sql.files.maxPartitionBytes) by as
+    many tasks; piece is where it begins in its file. Lines are counted in each piece, and a scan over the pieces gives their numbers."""
+    if not _exists(spark, f"{folder}/{pattern}"):
+        return spark.createDataFrame([], "source_file string, piece bigint, line_no bigint, value string")
+    lines = spark.read.option("pathGlobFilter", pattern).option("lineSep", "\n").text(folder)
+    lines = lines.select(file_name(F.col("_metadata.file_path")).alias("source_file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    own = lines.groupBy("source_file", "piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("source_file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # over pieces
+    own = own.select("source_file", "piece", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(own, ["source_file", "piece"]).select("source_file", "piece", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_no"), "value")
+
+
 def jsonl(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
     """Lines that parse; blank and truncated ones are dropped, and with a key those that lack it."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

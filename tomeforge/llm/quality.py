@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.bytesops import NON_SPACE, Words, byte_class, settle, slices
-from tomeforge.llm.common import ship
+from tomeforge.llm.bytesops import NON_SPACE, SLICE_BYTES, Words, byte_class, settle, slices
+from tomeforge.llm.common import Workspace, ship
 from tomeforge.llm.langid import held_out
 
 BUCKETS, RANK, BINS = 1 << 15, 8, 12
 #: Labelled texts to learn from, about, each taken whole: a text has a number of features that its length does not change beyond BUCKETS.
 LEARN_TEXTS = 6000
+#: Features of all these texts together, at most: what the driver holds (some 100 MB). Texts are taken in the order of a hash of doc_id.
+LEARN_FEATURES = 8_000_000
 EPOCHS, RATE, DECAY = 12, 0.08, 1e-5
 _CLASSES = {
     "upper": byte_class((0x41, 0x5A)),
@@ -45,8 +47,11 @@ def features(data: np.ndarray, off: np.ndarray, n_chars: np.ndarray) -> tuple[np
     doc, value = pair // BUCKETS, np.log1p(count)
     value = value / np.sqrt(np.bincount(doc, value * value, docs))[doc]
     size = np.diff(off)
-    owner = np.repeat(np.arange(docs), size)
-    kinds = np.bincount(owner * 8 + _KIND[data], minlength=docs * 8).reshape(docs, 8)[:, 1:] / np.maximum(size, 1)[:, None]
+    kinds = np.zeros((docs, 8))
+    for a in range(0, len(data), SLICE_BYTES):  # of a long text piece by piece
+        owner = np.searchsorted(off, np.arange(a, min(a + SLICE_BYTES, len(data))), "right") - 1
+        kinds += np.bincount(owner * 8 + _KIND[data[a : a + SLICE_BYTES]], minlength=docs * 8).reshape(docs, 8)
+    kinds = kinds[:, 1:] / np.maximum(size, 1)[:, None]
     n = words.count
     top = np.zeros(docs)
     np.maximum.at(top, doc, count)
@@ -120,11 +125,11 @@ def _n_chars(column: pa.Array) -> np.ndarray:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     settle()
     for batch in batches:
-        for i, j, data, off in slices(batch.column(2)):
-            doc, feature, value = features(data, off, _n_chars(batch.column(1))[i:j])
+        for i, j, data, off in slices(batch.column(3)):
+            doc, feature, value = features(data, off, _n_chars(batch.column(2))[i:j])
             edge = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
             cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), cut(feature, "<u4"), cut(value, "<f4")], names=["label", "feature", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), cut(feature, "<u4"), cut(value, "<f4"), pa.array(np.diff(edge))], names=["label", "draw", "feature", "value", "n"])
 
 
 def _score(shared):
@@ -145,17 +150,27 @@ def _chars(documents: DataFrame):
     return F.col("n_chars").try_cast("long") if "n_chars" in documents.columns else F.lit(None).cast("long")
 
 
-def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, texts: int = LEARN_TEXTS) -> Machine:
-    """From about `texts` labelled documents at most, drawn by a hash of doc_id from all outside the held-out fold."""
+def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, texts: int = LEARN_TEXTS, most: int = LEARN_FEATURES) -> Machine:
+    """From about `texts` labelled documents and `most` features at most, drawn by a hash of doc_id from all outside the held-out fold.
+
+    A doc_id with several labels counts with the smallest; rows that repeat a doc_id are texts of their own."""
     spark = documents.sparkSession
-    ship(spark)
-    known = labels.filter(~held_out(F.col("doc_id"), folds, fold) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
+    ws = Workspace(spark, "quality")
+    known = labels.filter(~held_out(F.col("doc_id"), folds, fold) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     step = max(1, known.count() // texts)
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).distinct()  # some `texts` rows
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)  # some `texts` rows
     rows = documents.select("doc_id", _chars(documents).alias("n_chars"), "text").join(F.broadcast(drawn), "doc_id")
-    found = rows.select("label", "n_chars", "text").mapInArrow(_featurise, "label int, feature binary, value binary").collect()
-    found.sort(key=lambda r: (r[0], bytes(r[1])))  # the order of arrival is no part of the model
-    return Machine().fit([(r[0], np.frombuffer(r[1], "<u4").astype(np.int64), np.frombuffer(r[2], "<f4")) for r in found])
+    found = ws.save(rows.select("label", F.xxhash64("doc_id", F.lit(7)).alias("draw"), "n_chars", "text").mapInArrow(_featurise, "label int, draw long, feature binary, value binary, n long"), "features")
+    total, last = 0, None
+    for r in found.groupBy("draw").agg(F.sum("n").alias("n")).orderBy("draw").collect():  # some `texts` rows of two numbers
+        total += r.n
+        if total > most and last is not None:
+            break
+        last = r.draw
+    taken = found.filter(F.col("draw") <= last).select("label", "feature", "value").collect() if last is not None else []
+    taken.sort(key=lambda r: (r[0], bytes(r[1])))  # the order of arrival is no part of the model
+    ws.drop("features")
+    return Machine().fit([(r[0], np.frombuffer(r[1], "<u4").astype(np.int64), np.frombuffer(r[2], "<f4")) for r in taken])
 
 
 def score(documents: DataFrame, machine: Machine, columns: tuple[str, ...] = ()) -> DataFrame:

@@ -58,7 +58,8 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str) -> DataFram
     """(node, root) for every node of edges (a, b): root is the smallest node reachable.
 
     Alternates large-star and small-star steps (each a grouped minimum and an equi-join), with a
-    table written after each; ends when the edge set no longer changes.
+    table written after each; ends when the edge set no longer changes. The minima are written too: with a table on either side, a join lets
+    Spark split the edges of a hub over tasks.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     digest = lambda e: e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -67,16 +68,16 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str) -> DataFram
     while seen[0]:
         step += 1
         # large star: larger neighbours are linked to the smallest one
-        least = both(now).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = ws.save(both(now).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-{step}-least")
         large = both(now).filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = ws.save(large.filter("a <> b").distinct(), f"{name}-{step}-large")
         # small star: a node and its smaller neighbours are linked to the smallest one
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = ws.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-{step}-down")
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(down.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         last, now = f"{name}-{step - 1}", ws.save(small, f"{name}-{step}")
         after = digest(now)
-        ws.drop(f"{name}-{step}-large", last)
+        ws.drop(f"{name}-{step}-least", f"{name}-{step}-large", f"{name}-{step}-down", last)
         if after == seen:
             break
         seen = after

@@ -22,7 +22,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _load() -> None:
-    from tomeforge.plans import documents, lookups, pages, records, searching, standard  # noqa: F401
+    from tomeforge.plans import documents, lookups, pages, records, searching, standard, stores  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -112,12 +112,18 @@ def combat_xp(advancement: DataFrame) -> DataFrame:
 
 def _by_skill(rows: DataFrame, line: Column, place: list[Column], cap: int | None, noun: str = "") -> DataFrame:
     """(skill, all, n): the lines of each skill in order, the first `cap`, and how many more there are."""
-    order = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(place)), line.alias("line"))
-    out = rows.groupBy("skill").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]).alias("all")).withColumn("n", F.size("all"))
+    columns = {f"o{i}": c for i, c in enumerate(place)}
+    each = rows.select("skill", line.alias("line"), *(c.alias(k) for k, c in columns.items()))
+    counts = each.groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    if cap is not None:  # ranked before they are brought together
+        first = Window.partitionBy("skill").orderBy(*columns, "line")
+        each = each.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= cap)
+    listed = each.groupBy("skill").agg(F.transform(F.array_sort(F.collect_list(F.struct(*columns, "line"))), lambda x: x["line"]).alias("all"))
+    out = listed.join(counts.withColumn("n", F.col("n").cast("int")), "skill")
     if cap is None:
         return out
     more = F.when(F.col("n") > cap, F.array(F.concat(F.lit("- +"), (F.col("n") - cap).cast("string"), F.lit(f" more {noun}")))).otherwise(F.array().cast("array<string>"))
-    return out.withColumn("all", F.concat(F.slice("all", 1, cap), more))
+    return out.withColumn("all", F.concat("all", more))
 
 
 def skill_recipes(recipes: DataFrame) -> DataFrame:

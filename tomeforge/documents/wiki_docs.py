@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeforge.documents.builders import document, lines, optional
@@ -177,7 +177,22 @@ def topics(pages: DataFrame, least: int = 3, shown: int = 5) -> DataFrame:
     """(topic, n, text) of topics that enough files speak of: the starts of the first files by name. pages: filename, text."""
     found = [F.when(F.exists(F.array(*(F.lit(p) for p in patterns)), lambda p: F.rlike(F.lower("text"), p)), F.lit(t)) for t, patterns in TOPICS.items()]
     each = pages.select("filename", F.substring("text", 1, 200).alias("start"), F.explode(F.array_compact(F.array(*found))).alias("topic"))
-    listed = each.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("filename", "start"))).alias("all")).filter(F.size("all") >= least)
-    first = F.transform(F.slice("all", 1, shown), lambda x: F.concat(F.lit("Source: "), x["filename"], F.lit("\n"), x["start"], F.lit("\n\n")))
-    head = F.concat(F.lit("=="), F.initcap(F.replace("topic", F.lit("_"), F.lit(" "))), F.lit("==\nAuto-generated from "), F.size("all").cast("string"), F.lit(" wiki sources.\n\n"))
-    return listed.select("topic", F.size("all").alias("n"), F.concat(head, F.array_join(first, "")).alias("text"))
+    counts = each.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("topic").orderBy("filename", "start"))).filter(F.col("_r") <= shown)
+    listed = ranked.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("filename", "start"))).alias("first")).join(counts, "topic")
+    first = F.transform("first", lambda x: F.concat(F.lit("Source: "), x["filename"], F.lit("\n"), x["start"], F.lit("\n\n")))
+    head = F.concat(F.lit("=="), F.initcap(F.replace("topic", F.lit("_"), F.lit(" "))), F.lit("==\nAuto-generated from "), F.col("n").cast("string"), F.lit(" wiki sources.\n\n"))
+    return listed.select("topic", F.col("n").cast("int").alias("n"), F.concat(head, F.array_join(first, "")).alias("text"))
+
+
+def refresh_topics(store: Store, pages: DataFrame, name: str = "topics", **bounds: int) -> DataFrame:
+    """(topic, change) of the topics that came, changed or went since the table `name` was written; it is written only if there are any."""
+    now = topics(pages, **bounds)
+    old = store.read(name) if store.exists(name) else now.limit(0)
+    both = now.select("topic", F.col("text").alias("a")).join(old.select("topic", F.col("text").alias("b")), "topic", "full")
+    change = F.when(F.col("b").isNull(), "created").when(F.col("a").isNull(), "gone").when(F.col("a") != F.col("b"), "updated")
+    changes = both.select("topic", change.alias("change")).filter("change is not null")
+    found = changes.collect()  # of a few topics
+    if found or not store.exists(name):
+        store.replace(name, now)
+    return pages.sparkSession.createDataFrame(found, "topic string, change string")

@@ -159,5 +159,13 @@ def chat_prices(chat: DataFrame, query: str, n: int = 20) -> DataFrame:
     return newest.filter(has_price(F.col("text"))).orderBy(F.desc(F.coalesce("ts", F.lit(""))), "text").limit(n).select("ts", "channel", "speaker", said.alias("said"))
 
 
+def top_vendors(vendors: DataFrame, npcs: DataFrame, n: int = 10) -> DataFrame:
+    """(npc_key, name, earned, available) of the n persons who have paid most in all; those without a record go. vendors: npc_key, councils_earned_lifetime,
+    vendor_gold_available; npcs: key, name."""
+    named = vendors.join(npcs.select(F.col("key").alias("npc_key"), "name"), "npc_key")
+    rows = named.select("npc_key", "name", F.col("councils_earned_lifetime").alias("earned"), F.col("vendor_gold_available").alias("available"))
+    return rows.orderBy(F.desc_nulls_last("earned"), "name", "npc_key").limit(n)
+
+
 def keyword_label(keywords: Column) -> Column:
     return F.array_join(F.transform(keywords, spaced_words), ", ")

@@ -12,6 +12,15 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], usable: Column |
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_place = 1").drop("_place")
 
 
+def latest_bodies(rows: DataFrame, keys: tuple[str, str] = ("character", "server"), at: str = "ts", body: str = "report") -> DataFrame:
+    """The newest row of each (character, server) whose body is that character's: a JSON object whose Character is the row's, blanks around
+    it aside. Half-written, empty and foreign bodies are passed over for an older good one."""
+    shown = F.try_parse_json(body)
+    said = F.trim(F.try_variant_get(shown, "$.Character", "string"), F.lit(" \n\t\r"))
+    own = F.schema_of_variant(shown).startswith("OBJECT") & F.schema_of_variant(F.try_variant_get(shown, "$.Character", "variant")).startswith("STRING") & (said != "") & (said == F.col(keys[0]))
+    return latest(rows, list(keys), [F.desc(at), F.desc(body)], F.coalesce(own, F.lit(False)))
+
+
 def fullest_batch(df: DataFrame, keys: list[str], batch: str, ident: str) -> DataFrame:
     """Of each key the rows of the batch with most rows, ties to the newest id."""
     sizes = df.groupBy(*keys, batch).agg(F.count(F.lit(1)).alias("_n"), F.max(ident).alias("_last"))

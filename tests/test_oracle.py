@@ -1,3 +1,4 @@
+import os
 from pathlib import Path
 
 import duckdb
@@ -5,7 +6,8 @@ import pytest
 
 from tomeforge import catalog
 
-DATA = "/root/testdata/sf0.001"
+#: TOMEFORGE_SF=sf0.01 runs the comparison at another scale.
+DATA = f"/root/testdata/{os.environ.get('TOMEFORGE_SF', 'sf0.001')}"
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

@@ -91,6 +91,27 @@ def test_sqlite(spark, tmp_path):
         c.executemany("insert into t values (?, ?, ?)", [(1, "x", 2.5), (2, None, None)])
     assert files.sqlite_tables(str(tmp_path / "a.db")) == {"t": [("id", "INTEGER"), ("name", "TEXT"), ("price", "REAL")]}
     assert sorted(tuple(r) for r in files.sqlite_table(spark, str(tmp_path / "a.db"), "t").collect()) == [(1, "x", 2.5), (2, None, None)]
+    with pytest.raises(ValueError, match="no table"):
+        files.sqlite_table(spark, str(tmp_path / "a.db"), "u")
+
+
+def test_sqlite_in_ranges_with_a_journal(spark, tmp_path):
+    import sqlite3
+
+    c = sqlite3.connect(tmp_path / "b.db")
+    c.execute("pragma journal_mode = wal")
+    c.execute("create table t (a int, b blob, c text)")
+    c.execute("create table w (k text primary key, v real) without rowid")
+    c.execute("create table e (x int)")
+    c.executemany("insert into t values (?, ?, ?)", [(i, bytes([i % 256]), f"é{i}") for i in range(1000)])
+    c.execute("delete from t where a % 7 = 0")
+    c.executemany("insert into w values (?, ?)", [("p", 1.5), ("q", None)])
+    c.commit()  # still open, so the rows are in the journal
+    found = files.sqlite_table(spark, str(tmp_path / "b.db"), "t", rows=90)
+    assert found.rdd.getNumPartitions() == 12 and sorted((r.a, bytes(r.b), r.c) for r in found.collect()) == [(i, bytes([i % 256]), f"é{i}") for i in range(1000) if i % 7]
+    assert sorted(tuple(r) for r in files.sqlite_table(spark, str(tmp_path / "b.db"), "w").collect()) == [("p", 1.5), ("q", None)]
+    assert files.sqlite_table(spark, str(tmp_path / "b.db"), "e").count() == 0
+    c.close()
 
 
 def test_store(spark, tmp_path):

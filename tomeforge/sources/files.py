@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,47 +135,68 @@ def sqlite_tables(path: str) -> dict[str, list[tuple[str, str]]]:
         return {n: [(c[1], c[2]) for c in connection.execute(f'pragma table_info("{n}")')] for n in names}
 
 
-def sqlite_table(spark: SparkSession, path: str, name: str, batch: int = 50_000) -> DataFrame:
-    """A table of a local SQLite file, from a copy of it and its journals, as texts, numbers and bytes by the columns' declared types.
+#: Rows of a SQLite table that one task reads, about.
+SQLITE_ROWS = 200_000
 
-    A SQLite file can be read in one place only: rows go in batches from the driver.
+
+def sqlite_table(spark: SparkSession, path: str, name: str, rows: int = SQLITE_ROWS) -> DataFrame:
+    """A table of a SQLite file as texts, numbers and bytes by the columns' declared types.
+
+    A copy of the file, its journal worked in, is given to the executors by Spark's own file server; each task reads a range of row numbers
+    from the copy where it runs, so no row goes through the driver. A table without row numbers is read by one task.
     """
     kinds = {"INT": "bigint", "REAL": "double", "FLOA": "double", "DOUB": "double", "NUME": "double", "BLOB": "binary"}
-    columns = dict(sqlite_tables(path)).get(name)
+    columns = sqlite_tables(path).get(name)
     if columns is None:
         raise ValueError(f"no table {name}")
-    schema = ", ".join(f"`{c}` {next((v for k, v in kinds.items() if k in t.upper()), 'string')}" for c, t in columns)
-    out = spark.createDataFrame([], schema)
-    with _copied(path) as connection:
-        cursor = connection.execute(f'select * from "{name}"')
-        cast = {"bigint": int, "double": float, "string": str, "binary": bytes}
-        made = [cast[x.rpartition(" ")[2]] for x in schema.split(", ")]
-        while rows := cursor.fetchmany(batch):
-            out = out.unionByName(spark.createDataFrame([tuple(None if v is None else f(v) for f, v in zip(made, r, strict=True)) for r in rows], schema))
-    return out
+    types = [next((v for k, v in kinds.items() if k in t.upper()), "string") for _, t in columns]
+    made = [{"bigint": int, "double": float, "string": str, "binary": bytes}[t] for t in types]
+    shipped = f"{uuid.uuid4().hex}.db"
+    with _copied(path, shipped, keep=True) as connection:
+        try:
+            low, high = connection.execute(f'select min(rowid), max(rowid) from "{name}"').fetchone()
+            asked = "where rowid between ? and ?"
+        except sqlite3.OperationalError:
+            low, high, asked = 0, 0, "where ? <= ?"
+        connection.execute("pragma wal_checkpoint(truncate)")
+        connection.execute("pragma journal_mode = delete")
+        spark.sparkContext.addFile(connection.execute("pragma database_list").fetchone()[2])
+    if low is None:
+        return spark.createDataFrame([], ", ".join(f"`{c}` {t}" for (c, _), t in zip(columns, types, strict=True)))
+    parts = max(1, (high - low) // rows + 1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                first = low + part * rows
+                with sqlite3.connect(f"file:{SparkFiles.get(shipped)}?mode=ro&immutable=1", uri=True) as own:
+                    cursor = own.execute(f'select * from "{name}" {asked}', (first, first + rows - 1))
+                    while found := cursor.fetchmany(10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array([None if v is None else f(v) for v in column], kind[t]) for f, t, column in zip(made, types, zip(*found, strict=True), strict=True)], names=[c for c, _ in columns])
+
+    return spark.range(0, parts, 1, parts).mapInArrow(read, ", ".join(f"`{c}` {t}" for (c, _), t in zip(columns, types, strict=True)))
 
 
 class _copied:
-    """A read-only connection to a copy of a SQLite file and of its write-ahead files, which may be in use."""
+    """A connection to a copy of a SQLite file and of its write-ahead files, which may be in use."""
 
-    def __init__(self, path: str):
-        self.path = Path(path)
+    def __init__(self, path: str, name: str = "copy.db", keep: bool = False):
+        """keep: the copy stays, as tasks fetch it from the driver when they begin."""
+        self.path, self.name, self.keep = Path(path), name, keep
 
     def __enter__(self):
-        import shutil
-        import sqlite3
-        import tempfile
-
-        self.folder = tempfile.TemporaryDirectory()
+        self.folder = Path(tempfile.mkdtemp(prefix="tomeforge-"))
         for end in ("", "-wal", "-shm"):
             if (own := Path(f"{self.path}{end}")).exists():
-                shutil.copy(own, Path(self.folder.name) / f"copy.db{end}")
-        self.connection = sqlite3.connect(f"file:{self.folder.name}/copy.db?mode=ro", uri=True)
+                shutil.copy(own, self.folder / f"{self.name}{end}")
+        self.connection = sqlite3.connect(str(self.folder / self.name))
         return self.connection
 
     def __exit__(self, *_) -> None:
         self.connection.close()
-        self.folder.cleanup()
+        if not self.keep:
+            shutil.rmtree(self.folder, ignore_errors=True)
 
 
 def columns_of(df: DataFrame) -> Iterator[tuple[str, str]]:

@@ -79,3 +79,22 @@ def test_a_step_cannot_need_itself(spark, tmp_path):
     loop = [build.Step("a", lambda b: None, ("b",)), build.Step("b", lambda b: None, ("a",))]
     with pytest.raises(ValueError, match="needs itself"):
         build.Build(spark, Store(spark, str(tmp_path))).run(loop)
+
+
+def test_mirror(spark, tmp_path):
+    import sqlite3
+
+    c = sqlite3.connect(tmp_path / "a.db")
+    c.executescript("create table log (id integer primary key, t text); create table state (k text, snapshot int); create table bag (k text);")
+    c.executescript("insert into log (t) values ('a'), ('b'); insert into state values ('x', 1); insert into bag values ('p');")
+    c.commit()
+    store = Store(spark, str(tmp_path / "store"))
+    run = lambda: build.mirror(spark, store, str(tmp_path / "a.db"), {"log": "id", "none": "id"}, {"state": "snapshot"}, ("bag",))
+    assert run() == {"log": 2, "none": 0, "state": 1, "bag": 1} and run() == {"log": 0, "none": 0, "state": 0, "bag": 1}
+    c.executescript("insert into log (t) values ('c'); insert into state values ('y', 2); delete from bag;")
+    c.commit()
+    assert run() == {"log": 1, "none": 0, "state": 2, "bag": 0} and sorted(r.t for r in store.read("log").collect()) == ["a", "b", "c"]
+    c.executescript("alter table log add column more real;")
+    c.commit()
+    assert run()["log"] == 3 and store.read("log").columns == ["id", "t", "more"] and store.mark("log") == 3
+    c.close()

@@ -196,6 +196,31 @@ def refresh(spark: SparkSession, store: str, **paths: str) -> list[str]:
     return Build(spark, Store(spark, store), own).run(steps(own))
 
 
+def mirror(spark: SparkSession, store: Store, path: str, growing: dict[str, str], gated: dict[str, str], whole: tuple[str, ...] = ()) -> dict[str, int]:
+    """Brings the store's copies of a SQLite file's tables up to date; how many rows each took (tables that the file lacks take none).
+
+    growing: tables that only get new rows, and their id; gated: tables that change as a whole, and the column whose largest value says when;
+    whole: tables that are copied each time. A table whose columns have changed is emptied and loaded anew.
+    """
+    there, taken = files.sqlite_tables(path), {}
+    for name in (*growing, *gated, *whole):
+        if name not in there:
+            taken[name] = 0
+            continue
+        rows = files.sqlite_table(spark, path, name)
+        if store.exists(name) and store.read(name).dtypes != rows.dtypes:
+            store.converge(name, rows)
+        if name in growing:
+            taken[name] = store.append_new(name, rows, growing[name])
+        elif name in gated:
+            newest = rows.agg(F.max(gated[name]).cast("string")).first()[0]
+            taken[name] = store.copy_if_newer(name, rows, newest or "")
+        else:
+            store.replace(name, rows)
+            taken[name] = store.read(name).count()
+    return taken
+
+
 def main() -> None:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("--store", required=True)

@@ -63,6 +63,23 @@ def test_trades(spark):
     assert barter.trades(*(f.limit(0) for f in frames)).count() == 0
 
 
+def test_sequences_are_made_once_for_each_text_of_a_cell(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def runs(words, longest):
+        made.add(1)
+        return sorted({" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)})
+
+    monkeypatch.setattr(barter, "sequences", lambda words, longest: F.udf(runs, "array<string>")(words, F.lit(longest)))
+    rows = spark.range(400).selectExpr("concat('p', id % 40) as person", "concat('t', id % 40) as table_id", "id as row", "array(cast(id as string), 'and', if(id % 2 = 0, 'one red cup', 'one blue cup')) as cells")
+    items = spark.createDataFrame([("i1", "Red Cup"), ("i2", "Blue Cup")], "item_key string, name string")
+    offers = spark.range(80).selectExpr("if(id % 2 = 0, 'i1', 'i2') as item_key", "id % 40 as place", "concat('p', id % 40) as person")
+    covers = spark.range(40).selectExpr("concat('t', id) as table_id", "'all' as text")
+    found = {r.item_key: r.trades.splitlines()[0] for r in barter.trades(items, offers, rows, covers).collect()}
+    assert found == {"i1": "Barter: p0 gives Red Cup in exchange for 0 | and, 40 | and, 80 | and.", "i2": "Barter: p1 gives Blue Cup in exchange for 1 | and, 41 | and, 81 | and."}
+    assert 0 < made.value < 100  # not a time for each of the 400 rows
+
+
 @pytest.mark.parametrize(
     ("text", "found"),
     [

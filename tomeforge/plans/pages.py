@@ -49,7 +49,7 @@ register(
 def _trades(s: SparkSession, d: str) -> DataFrame:
     parts = table(s, d, "part").select(F.col("p_partkey").alias("item_key"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), "p_type")
     sold = table(s, d, "lineitem").withColumn("person", F.concat(F.lit("s"), "l_suppkey")).withColumn("table_id", F.concat("person", F.lit("_"), "l_returnflag", "l_linestatus"))
-    offers = sold.select(F.col("l_partkey").alias("item_key"), F.col("l_suppkey").alias("place"), "person").distinct()
+    offers = sold.select(F.col("l_partkey").alias("item_key"), F.col("l_suppkey").alias("place"), "person")
     given = F.concat(F.lit("One "), F.upper("name"), F.when(F.col("l_linenumber") == 2, "x").otherwise(""), F.lit(" of "), "p_type")
     asked = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" "), "l_returnflag")
     rows = sold.join(parts.withColumnRenamed("item_key", "l_partkey"), "l_partkey").select("person", "table_id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), F.when(F.col("l_linenumber") == 1, F.array(given)).otherwise(F.array(asked, F.lit("and"), given)).alias("cells"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ from tomeforge.runtime import ship
 BUDGET, OVERLAP, TOKENS, WITHOUT_COUNTER = 1024, 100, 400, 1000
 #: Types whose chunks are measured in tokens.
 TOKEN_TYPES = ("lorebook", "skillprofile", "leveling", "summary", "curated")
+#: Characters of chunks that a task holds before it gives them out.
+HELD = 1 << 20
 _ENDS = (". ", "! ", "? ", "\n", ", ", " ")
 Counter = Callable[[str], int]
 
@@ -145,15 +147,25 @@ def chunked(docs: DataFrame, key: str, text: str, kind: str | None = None, count
     least = F.when(F.col("kind").isin(*TOKEN_TYPES), F.lit(tokens if count else WITHOUT_COUNTER)).otherwise(F.lit(min(budget, tokens) if count else budget))
     short = own.filter(F.length("text") <= least).select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"), "text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for ident, of, body in zip(f["id"], f["kind"], f["text"], strict=True):
-                parts = split(body, of, count, budget, window=window)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for ident, of, body in zip(*batch.columns, strict=True):  # texts become Python's one by one
+                ident, parts = ident.as_py(), split(body.as_py(), of.as_py(), count, budget, window=window)
                 whole = len(parts) == 1
                 rows += [(ident if whole else f"{ident}_chunk_{i}", None if whole else ident, i, len(parts), p) for i, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["id", "parent_id", "chunk_index", "chunk_count", "text"])
+                held += sum(map(len, parts))
+                if held > HELD:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
+                rows, held = [], 0
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "parent_id", "chunk_index", "chunk_count", "text"])
 
     ship(docs.sparkSession)
-    long = own.filter(F.length("text") > least).mapInPandas(run, "id string, parent_id string, chunk_index int, chunk_count int, text string")
+    long = own.filter(F.length("text") > least).mapInArrow(run, "id string, parent_id string, chunk_index int, chunk_count int, text string")
     return short.unionByName(long)

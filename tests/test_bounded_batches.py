@@ -34,3 +34,12 @@ def test_chunks_are_given_out_in_small_pieces(spark, given_to_arrow):
     want = chunks.split(text)
     rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
     assert rows == [(f"{i}_chunk_{k}", str(i), k, len(want), p) for i in range(n) for k, p in enumerate(want)]
+
+
+def test_a_price_is_found_in_one_pass(spark):
+    found = {"5 gold": True, "5, . gold": True, "5.gold": True, "500each": True, "x5 gold": False, "5 golden": False, "@5": True, "@ , 5": True, "@ ,5": False, "@x5": False, "for 1,00": True, "for 99": False, "for 99.123": False, "12,345": True, "1.2345": False, "1234": False, "": False, "_5 c": False, "5 @ c": False}
+    rows = [(t, w) for t, w in found.items()] + [(None, False), ("1234 ; " * 8000, False), ("1234 ; " * 8000 + "each", True)]
+    began = time.time()
+    got = spark.createDataFrame(rows, "t string, w boolean").select("t", "w", T.has_price(F.col("t")).alias("g")).collect()
+    assert [(r.t or "")[:20] for r in got if r.g != r.w] == []
+    assert time.time() - began < 20  # the text was split anew for each number

@@ -64,20 +64,18 @@ PRICE_UNITS = ("c", "k", "g", "ea", "ppu", "each", "per", "council", "councils",
 def has_price(x: Column) -> Column:
     """Whether a chat text quotes a price: a number after @ or before a unit, one of three or more digits after "for", or one of five
     or more anywhere. Thousands may be set off by commas, a unit may follow at once."""
-    parts = F.regexp_replace(F.regexp_replace(F.lower(x), "@", " @ "), "[^a-z0-9_.,@]+", " ")
-    parts = F.regexp_replace(parts, "(?<![a-z_0-9])([0-9][0-9,.]*)(?=[a-z])", "$1 ")  # 500each is 500 each
-    tokens = F.transform(F.split(parts, " "), lambda t: F.rtrim(t, F.lit(".,")))
-    tokens = F.filter(tokens, lambda t: t != "")
-
-    def quoted(t: Column, i: Column) -> Column:
-        at = lambda k: F.coalesce(F.try_element_at(tokens, i + 1 + k), F.lit(""))
-        before = F.when(i > 0, at(F.lit(-1))).otherwise("")
-        digits = F.length(F.translate(F.substring_index(t, ".", 1), ",", ""))
-        number = t.rlike("^[0-9][0-9,]*([.][0-9]+)?$")
-        return number & ((before == "@") | at(F.lit(1)).isin(*PRICE_UNITS) | ((before == "for") & (digits >= 3)) | (digits >= 5))
-
-    flags = F.transform(tokens, quoted)
-    return F.coalesce(F.exists(flags, lambda f: f), F.lit(False))
+    units, low = "|".join(PRICE_UNITS), F.lower(x)
+    # most texts have nothing that could be a price, and one look tells: a digit after @ or for, before a unit, or one of five
+    likely = F.rlike(low, F.lit(f"@[^a-z0-9_@]*+[0-9]|for[^a-z0-9_@]++[0-9]|[0-9](?:[^a-z0-9_@]*+(?:{units})(?![a-z0-9_])|(?:,*+[0-9]){{4}})"))
+    parts = F.regexp_replace(F.regexp_replace(low, "@", " @ "), "[^a-z0-9_.,@]+", " ")
+    parts = F.regexp_replace(parts, "(?<![a-z_0-9])([0-9][0-9,.]*+)(?=[a-z])", "$1 ")  # 500each is 500 each
+    parts = F.regexp_replace(parts, "(?<![.,])[.,]++(?= |$)", "")
+    # one look along the words that are left: a lambda over them would split the text anew for each
+    fraction = "[0-9,]*+(?:[.][0-9]++)?+"
+    digits = lambda n: f"[0-9](?:,*+[0-9]){{{n - 1}}}{fraction}"
+    number = f"[0-9]{fraction}"
+    quoted = F.rlike(parts, F.lit(f"(?:^| )(?:@ ++{number}|{number} ++(?:{units})|for ++{digits(3)}|{digits(5)})(?= |$)"))
+    return F.when(likely, quoted).otherwise(F.lit(False))
 
 
 def squeezed(x: Column) -> Column:

@@ -21,6 +21,8 @@ def _without_marks() -> dict[int, str | None]:
 
 
 _BARE = _without_marks()
+#: Postings that a task holds before it gives them out.
+HELD = 1 << 15
 
 
 def folded(text: str) -> str:
@@ -59,10 +61,9 @@ def postings(docs: DataFrame, key: str, *columns: str, places: bool = True) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [batch.column(i + 1).to_pylist() for i in range(len(columns))]
             held: list[list] = [[] for _ in names]
             for r in range(batch.num_rows):
-                found = [words(t[r]) for t in texts]
+                found = [words(batch.column(i + 1)[r].as_py()) for i in range(len(columns))]  # texts become Python's one by one
                 total = sum(map(len, found))
                 for f, own in enumerate(found):
                     of = _places(own) if places else Counter(own)
@@ -70,7 +71,7 @@ def postings(docs: DataFrame, key: str, *columns: str, places: bool = True) -> D
                     values = [[r] * n, of, [f] * n, map(len, of.values()) if places else of.values(), [total] * n, *[of.values()] * places]
                     for column, more in zip(held, values, strict=True):
                         column.extend(more)
-                if len(held[0]) > 200_000:
+                if len(held[0]) > HELD:
                     yield out(batch, held)
                     held = [[] for _ in names]
             yield out(batch, held)
@@ -90,8 +91,8 @@ def sized(docs: DataFrame, *columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [batch.column(batch.schema.get_field_index(c)).cast(pa.string()).to_pylist() for c in columns]
-            n = [sum(len(words(t)) for t in row) for row in zip(*texts, strict=True)]
+            texts = [batch.column(batch.schema.get_field_index(c)).cast(pa.string()) for c in columns]
+            n = [sum(len(words(t.as_py())) for t in row) for row in zip(*texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "_words"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -104,8 +105,8 @@ def prefix_counts(docs: DataFrame, key: str, text: str, prefixes: list[str]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dl, hits = [], [[] for _ in prefixes]
-            for t in batch.column(1).to_pylist():
-                found = words(t)
+            for t in batch.column(1):
+                found = words(t.as_py())
                 dl.append(len(found))
                 line = " " + " ".join(found)
                 for own, p in zip(hits, prefixes, strict=True):

@@ -78,3 +78,42 @@ def test_families_are_told_apart(spark):
 def test_variants_are_not_in_training():
     for family, notices in L.VARIANTS.items():
         assert family in L.TEMPLATES and not any(L.words_of(v) == L.words_of(t) for v in notices for ts in L.TEMPLATES.values() for t in ts)
+
+
+def judged(text):
+    """(windows, those given to a family, family with the highest probability, that probability) of all windows, each scored by itself."""
+    classes, weights, bias = L.trained()
+    words = re.findall("[a-z0-9]+", (text or "").lower())
+    windows = [w for line in (text or "").lower().split("\n") if (w := re.findall("[a-z0-9]+", line))]
+    windows += [words[a : a + n] for n in L.WINDOWS for a in range(0, len(words), n // 3)]
+    best, named = {}, 0
+    for w in windows or [[]]:
+        known = [weights[g] for g in L.grams_of(w) if g in weights]
+        z = [b + sum(k[i] for k in known) / math.sqrt(len(known) or 1) for i, b in enumerate(bias)]
+        e = [math.exp(v - max(z)) for v in z]
+        p = {c: v / sum(e) for c, v in zip(classes, e, strict=True)}
+        named += max(p.values()) >= LEAST and max(p, key=p.get) != L.UNKNOWN
+        for c in classes[:-1]:
+            best[c] = max(best.get(c, 0), p[c])
+    guess = max(best, key=best.get)
+    return len(windows), named, guess, best[guess]
+
+
+def test_every_window_is_judged(spark):
+    """Texts that are like no template have the classifier's own probability too, and notices in other words are named."""
+    rng = random.Random(5)
+    filler = "river morning table seven Garden window music, teacher winter the of and a\n to under mit\n\n general 2 qxv zzy".split(" ")
+    noise = lambda n: [rng.choice(filler) for _ in range(n)]
+    rows = [None, "", " \n\n. ", "qxv", "qxv " * 500, "qxv\n" * 20, "The and THE and the\nand the", "under the", "\nunder\n\nthe terms\nof the\nof the", *(" ".join(noise(n)) for n in (1, 7, 8, 42, 43, 300))]
+    other = [(f, " ".join(noise(rng.randint(0, 30)) + [t] + noise(rng.randint(0, 30)))) for f, ts in L.VARIANTS.items() for t in ts]
+    rows += [t for _, t in other] + [" ".join(noise(5) + [ts[0]] + noise(9)) for ts in L.TEMPLATES.values()]
+    out = {r.doc_id: r for r in L.licence_notices(spark.createDataFrame([*enumerate(rows), (-1, rows[-1]), (-1, rows[-1])], "doc_id int, text string")).collect()}
+    for i, text in enumerate(rows):
+        n, named, guess, p = judged(text)
+        assert (out[i].n_windows, out[i].n_named, out[i].guess) == (n, named, guess), text
+        assert out[i].guess_score == pytest.approx(p, abs=1e-9), text
+    for c in out[-1].__fields__[1:]:
+        same = out[len(rows) - 1][c]
+        assert out[-1][c] == (pytest.approx(same, abs=1e-9) if isinstance(same, float) else same)
+    unconfirmed = [i for i, r in out.items() if r.n_named and not r.n_notices]
+    assert len(unconfirmed) > 5 and all(0 < r.guess_score < 1 for r in out.values())

@@ -1,4 +1,4 @@
-"""Licence notices in texts: a trained classifier of word windows, confirmed by comparison with templates.
+"""Licence notices in texts: a trained classifier of every word window, confirmed by comparison with templates.
 
 Windows run over the whole text, line breaks or not; each template has windows of near its own length that overlap by more than it.
 Physical lines are windows too. Training is on the templates below (whole and among other words) and on ordinary paragraphs,
@@ -109,6 +109,8 @@ HELD = "the of and a to in is for on or with as was at it river morning table se
 #: Words of a window; the next one begins a third of it later.
 WINDOWS = (8, 12, 18, 28, 42)
 UNKNOWN = "unknown"
+#: Known words of a partition in which windows are judged: some 5 windows each, of 0.2 KB.
+FOUND = 131_072
 
 
 def words_of(text: str) -> list[str]:
@@ -226,58 +228,106 @@ def trained(rounds: int = 60, rate: float = 1.5, decay: float = 1e-4) -> tuple[t
     return classes, weights, bias
 
 
+def occurrences(documents: DataFrame, ids: dict[str, int], gate: list[str], text: str, key: str) -> DataFrame:
+    """(row, pos, word, pair, line, whole, gated) of every word that training has, from one scan of whole texts: numbers of the word and of its 2-gram with
+    the next word (null: not known), the line it is in, whether the 2-gram is too, whether the text has a word of `gate`. One more row for each document has
+    word 0, doc_id and n_windows."""
+    spark = documents.sparkSession
+    docs = documents.select(F.col(key).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    docs = docs.select("row", "doc_id", F.transform(F.split("text", "\n"), lambda x: F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0))).alias("lines"))
+    along = F.concat(F.array(F.lit(-1)), F.flatten(F.transform("lines", lambda x, j: F.array_repeat(j, F.size(x)))))
+    docs = docs.select("row", "doc_id", "lines", F.concat(F.array(F.lit("")), F.flatten("lines")).alias("words"), along.alias("along"))
+    n_windows = sum((F.ceil((F.size("words") - 1) / F.lit(w // 3)) for w in WINDOWS), F.size(F.filter("lines", lambda x: F.size(x) > 0))).cast("long")
+    gated = F.arrays_overlap("words", F.array(*[F.lit(w) for w in gate]))
+    docs = docs.select("row", "doc_id", "words", "along", n_windows.alias("n_windows"), gated.alias("gated"))
+    at = F.arrays_zip(F.col("words").alias("gram"), F.expr("slice(words, 2, size(words))").alias("next"), F.col("along").alias("line"), F.expr("slice(along, 2, size(along))").alias("beyond"))
+    # outer, as Spark would put a filter for empty arrays before the scan's projections and so make the words twice; no array is empty
+    docs = docs.select("row", "doc_id", "n_windows", "gated", F.posexplode_outer(at).alias("pos", "at"))
+    docs = docs.select("row", "doc_id", "n_windows", "gated", (F.col("pos") - 1).alias("pos"), "at.*")
+    known = lambda size, name: F.broadcast(spark.createDataFrame([(g, i) for g, i in {"": 0, **ids}.items() if len(g.split(" ")) == size], f"gram string, {name} int"))
+    docs = docs.join(known(1, "word"), "gram")
+    docs = docs.withColumn("gram", F.concat("gram", F.lit(" "), "next")).join(known(2, "pair"), "gram", "left")
+    mark = lambda c: F.when(F.col("word") == 0, F.col(c)).alias(c)
+    return docs.select("row", "pos", "word", "pair", "line", F.coalesce(F.col("line") == F.col("beyond"), F.lit(False)).alias("whole"), "gated", mark("doc_id"), mark("n_windows"))
+
+
+def in_windows(found: DataFrame) -> DataFrame:
+    """(row, kind, k, gram): the known grams of each window, each once: where it occurs first. kind is the window's words, 0 for lines."""
+    both = F.array(F.struct(F.col("word").alias("gram"), F.lit(1).alias("size"), F.lit(True).alias("whole")), F.struct(F.col("pair").alias("gram"), F.lit(2).alias("size"), F.col("whole")))
+    grams = found.filter("word > 0").select("row", "pos", "line", F.explode(both).alias("g")).filter("g.gram is not null").select("row", "pos", "line", "g.*")
+    along = Window.partitionBy("row", "gram").orderBy("pos")
+    grams = grams.withColumn("last", F.lag("pos").over(along)).withColumn("above", F.lag("line").over(along))
+    kinds = F.explode(F.array(*[F.struct(F.lit(w).alias("kind"), F.lit(max(w // 3, 1)).alias("step")) for w in (0, *WINDOWS)])).alias("w")
+    grams = grams.select("*", kinds).select("row", "gram", "pos", "size", "line", "whole", "last", "above", "w.*")
+    low = F.expr("if(kind = 0, line, greatest(0, (pos + size - kind + step - 1) div step, last div step + 1))").cast("int")
+    high = F.expr("if(kind = 0, if(whole and not above <=> line, line, line - 1), pos div step)").cast("int")
+    grams = grams.select("row", "kind", "gram", low.alias("low"), high.alias("high")).filter("low <= high")
+    return grams.select("row", "kind", F.explode_outer(F.sequence("low", "high")).alias("k"), "gram")
+
+
+def in_places(found: DataFrame, places: DataFrame) -> DataFrame:
+    """in_windows of these windows (row, kind, k) alone, found by the stretches of the longest window's words that they touch."""
+    longest = WINDOWS[-1]
+    grid = places.filter("kind > 0").withColumn("start", F.expr("k * (kind div 3)")).withColumn("stretch", F.expr(f"explode(sequence(start div {longest}, (start + kind - 1) div {longest}))"))
+    grid = grid.join(found.withColumn("stretch", F.expr(f"cast(pos div {longest} as bigint)")), ["row", "stretch"]).filter("pos between start and start + kind - 1")
+    grid = grid.select("row", "kind", "k", "word", F.expr("if(pos < start + kind - 1, pair, null)").alias("pair"))
+    lines = places.filter("kind = 0").join(found.withColumnRenamed("line", "k"), ["row", "k"]).select("row", "kind", "k", "word", F.expr("if(whole, pair, null)").alias("pair"))
+    return grid.unionByName(lines).select("row", "kind", "k", F.explode(F.array("word", "pair")).alias("gram")).filter("gram is not null").distinct()
+
+
+def judgements(grams: DataFrame, table: DataFrame, classes: tuple[str, ...], bias: list[float]) -> DataFrame:
+    """(row, kind, k, class, p, p0, p1 …) of windows that hold known grams: the likeliest class (ties: the first by name), its probability and each family's."""
+    families = range(len(classes) - 1)
+    sums = grams.join(F.broadcast(table), "gram").groupBy("row", "kind", "k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"w{c}").alias(f"w{c}") for c in families])
+    odds = sums.select("row", "kind", "k", *[F.exp(F.col(f"w{c}") / F.sqrt("n") + (bias[c] - bias[-1])).alias(f"e{c}") for c in families])
+    odds = odds.select("*", sum((F.col(f"e{c}") for c in families), F.lit(1.0)).alias("all"), F.greatest(F.lit(1.0), *[f"e{c}" for c in families]).alias("top"))
+    e = {name: F.col(f"e{c}") if c in families else F.lit(1.0) for c, name in enumerate(classes)}
+    best = F.coalesce(*[F.when(e[name] == F.col("top"), F.lit(name)) for name in sorted(classes)])
+    return odds.select("row", "kind", "k", best.alias("class"), (F.col("top") / F.col("all")).alias("p"), *[(F.col(f"e{c}") / F.col("all")).alias(f"p{c}") for c in families])
+
+
 def licence_notices(documents: DataFrame, least: float = 0.5, alike: float = 0.6, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of documents: doc_id, n_notices, families (sorted, comma-joined), family, score.
+    """One row per row of documents: doc_id, n_notices, families (sorted, comma-joined), family, score; n_windows, n_named, guess, guess_score.
 
-    A window of words (of the whole text, or a line) counts as a notice of the likeliest family if that family's probability is at
-    least `least` and `alike` of the 2-grams of one of its templates are in the window. Windows of one notice count once: notices of a
+    The classifier judges every window of words (of the whole text, or a line). A window counts as a notice of the likeliest family if that family's
+    probability is at least `least` and `alike` of the 2-grams of one of its templates are in the window. Windows of one notice count once: notices of a
     family with few words between them are one, unless its template's 2-grams repeat. family and score are those
     of the likeliest notice (ties: the first family by name), `unknown` where a text has no notice, with the highest probability of
     its windows that are like a template, 1 without any.
+    The last four columns hold what the classifier alone says, like a template or not: the number of windows, of those that it gives to a family with at
+    least `least`, and the family with the highest probability in any window, with that probability (ties: the first by name; in a text
+    without words, or a window without words of the training, the biases decide).
     Null, empty and wordless texts have none. Repeated rows are scored each for itself; an empty table
     gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession
     ws = Workspace(spark, "licences")
     classes, weights, bias = trained()
-    gate = gate_words(weights, alike)
-    has = lambda c: F.greatest(*[F.contains(c, F.lit(w)).cast("int") for w in gate]) == 1
-    cut = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
-    known = F.array(*[F.lit(w) for w in gate])
-    pairs = F.expr("if(size(words) < 2, array(), transform(sequence(1, greatest(size(words) - 1, 1)), i -> concat(words[i - 1], ' ', words[i])))")
-    docs = documents.select(F.col(key).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    # the words are made once, as the argument of a lambda
-    telling = F.array(*[F.lit(p) for p in gate_pairs(weights, alike)])
-    two = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i)))
-    gated = F.exists(F.array(cut("text")), lambda w: F.coalesce(F.arrays_overlap(w, known) & F.arrays_overlap(two(w), telling), F.lit(False)))
-    passed = has(F.col("text")) & gated
-    rows = docs.filter(passed).withColumn("row", F.monotonically_increasing_id())
-    rows = ws.save(rows.withColumn("words", cut("text")), "rows")
-    # both tables hold the templates' grams only, a few thousand rows
-    table = spark.createDataFrame([(g, *w) for g, w in weights.items()], ["gram", *(f"w{k}" for k in range(len(classes)))])
-    shapes = [(f, f"{f}/{i}", len(g), window_of(len(words_of(t))), p) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for g in [grams_of(words_of(t), (2,))] for p in g]
-    shapes = F.broadcast(spark.createDataFrame(shapes, "class string, template string, size int, kind int, pair string"))
+    ids = {g: i for i, g in enumerate(weights, 1)}
+    families = range(len(classes) - 1)
+    # the tables hold the training's grams only, a few thousand rows
+    table = spark.createDataFrame([(ids[g], *(v - w[-1] for v in w[:-1])) for g, w in weights.items()], f"gram int, {', '.join(f'w{c} double' for c in families)}")
+    shapes = [(f, f"{f}/{i}", len(g), window_of(len(words_of(t))), ids[p]) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for g in [grams_of(words_of(t), (2,))] for p in g]
+    shapes = F.broadcast(spark.createDataFrame(shapes, "class string, template string, size int, kind int, pair int"))
+    found = ws.save(occurrences(documents, ids, gate_words(weights, alike), text, key), "found")
+    # every window: sums by window need no table, as all of a row is in one partition
+    dealt = found.filter("word > 0").select("row", "pos", "word", "pair", "line", "whole").repartition(1 + found.count() // FOUND, "row")
+    every = judgements(in_windows(dealt), table, classes, bias).withColumn("named", ((F.col("p") >= least) & (F.col("class") != UNKNOWN)).cast("long"))
+    every = ws.save(every.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.sum("named").alias("n_named"), *[F.max(f"p{c}").alias(f"p{c}") for c in families]), "every")
+    # a text without a word of the gate, or without one of these 2-grams, has no window that is like a template
+    near = found.filter("word > 0 and gated").select("row", "pos", "word", "pair", "line", "whole")
+    telling = near.filter(F.col("pair").isin([ids[p] for p in gate_pairs(weights, alike)])).select("row").distinct()
+    near = ws.save(near.join(telling, "row", "left_semi"), "near")
     # a hit is a 2-gram of a template in a window (row, kind, k); kind is the window's words, 0 for lines
-    met = rows.filter(F.arrays_overlap("words", known)).select("row", F.posexplode(pairs).alias("pos", "pair")).join(shapes, "pair")
+    met = near.select("row", F.col("pos").cast("long").alias("pos"), "line", "whole", "pair").join(shapes, "pair")
     within = F.expr("explode(sequence(greatest(0, cast(ceil((pos + 2 - kind) / (kind div 3)) as int)), cast(pos div (kind div 3) as int)))")
-    grid = met.select("row", "kind", within.alias("k"), "class", "template", "size", "pair", F.col("pos").cast("long").alias("pos"))
-    lines = rows.filter(F.arrays_overlap("words", known)).select("row", F.posexplode(F.split("text", "\n")).alias("k", "line")).withColumn("words", cut("line")).drop("line")
-    before = F.coalesce(F.sum(F.size("words")).over(Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = ws.save(lines.withColumn("start", before).filter(F.arrays_overlap("words", known)), "lines")
-    whole = lines.select("row", "k", "start", F.posexplode(pairs).alias("at", "pair")).join(shapes, "pair")
-    whole = whole.select("row", F.lit(0).alias("kind"), "k", "class", "template", "size", "pair", (F.col("start") + F.col("at")).cast("long").alias("pos"))
+    grid = met.select("row", "kind", within.alias("k"), "class", "template", "size", "pair", "pos")
+    whole = met.filter("whole").select("row", F.lit(0).alias("kind"), F.col("line").alias("k"), "class", "template", "size", "pair", "pos")
     hits = ws.save(grid.unionByName(whole), "hits")
     place = ["row", "kind", "k"]
     like = hits.groupBy(*place, "class", "template").agg((F.count_distinct("pair") / F.max("size")).alias("share"))
     like = ws.save(like.filter(F.col("share") >= alike).drop("share"), "like")
-    windows = like.select(*place).distinct()
-    there = windows.filter("kind > 0").join(rows, "row").select(*place, F.expr("slice(words, k * (kind div 3) + 1, kind)").alias("words"))
-    there = there.unionByName(windows.filter("kind = 0").join(lines, ["row", "k"]).select(*place, "words"))
-    grams = there.select(*place, F.explode(F.concat(F.array_distinct("words"), F.array_distinct(pairs))).alias("gram"))
-    sums = grams.join(F.broadcast(table), "gram").groupBy(*place).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(len(classes))])
-    z = F.array(*[F.struct((F.col(f"w{k}") / F.sqrt("n") + bias[k]).alias("e"), F.lit(c).alias("class")) for k, c in enumerate(classes)])
-    sums = sums.withColumn("z", z).withColumn("best", F.expr("array_sort(z, (a, b) -> case when a.e > b.e then -1 when a.e < b.e then 1 when a.class < b.class then -1 else 1 end)[0]"))
-    judged = ws.save(sums.select(*place, F.col("best.class").alias("class"), (1 / F.expr("aggregate(z, 0D, (s, x) -> s + exp(x.e - best.e))")).alias("p")), "judged")
+    judged = ws.save(judgements(in_places(near, like.select(*place).distinct()), table, classes, bias).select(*place, "class", "p"), "judged")
     notices = ws.save(like.join(judged.filter(F.col("p") >= least), [*place, "class"]), "notices")
     held = hits.join(notices.select(*place, "template"), [*place, "template"], "left_semi").select("row", "class", "template", "size", "pair", "pos").distinct()
     along = Window.partitionBy("row", "class").orderBy("pos")
@@ -294,8 +344,14 @@ def licence_notices(documents: DataFrame, least: float = 0.5, alike: float = 0.6
     counts = named.groupBy("row").agg(F.sum("n").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("class")), ",").alias("families"))
     first = notices.join(named, ["row", "class"], "left_semi").groupBy("row").agg(F.min(F.struct((-F.col("p")).alias("q"), F.col("class").alias("class"))).alias("first"))
     top = judged.groupBy("row").agg(F.max("p").alias("top"))
-    out = rows.select("doc_id", "row").join(top, "row", "left").join(first, "row", "left").join(counts, "row", "left")
+    docs = found.filter("word = 0").select("row", "doc_id", "n_windows").join(every, "row", "left")
+    # what the biases alone give to each family, in windows without a known gram
+    odds = [math.exp(b - bias[-1]) for b in bias[:-1]]
+    idle = (F.col("n_windows") == 0) | (F.coalesce("n", F.lit(0)) < F.col("n_windows"))
+    ps = {classes[c]: F.greatest(F.col(f"p{c}"), F.when(idle, F.lit(o / (1 + sum(odds))))) for c, o in enumerate(odds)}
+    docs = docs.withColumn("guess_score", F.greatest(*ps.values()))
+    docs = docs.withColumn("guess", F.coalesce(*[F.when(ps[name] == F.col("guess_score"), F.lit(name)) for name in sorted(ps)]))
+    out = docs.join(top, "row", "left").join(first, "row", "left").join(counts, "row", "left")
     score = F.coalesce(-F.col("first.q"), "top", F.lit(1.0)).alias("score")
-    scored = out.select("doc_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("first.class", F.lit(UNKNOWN)).alias("family"), score)
-    none = docs.filter(~passed).select("doc_id", F.lit(0).cast("long").alias("n_notices"), F.lit("").alias("families"), F.lit(UNKNOWN).alias("family"), F.lit(1.0).alias("score"))
-    return scored.unionByName(none)
+    notices = (F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("first.class", F.lit(UNKNOWN)).alias("family"), score)
+    return out.select("doc_id", *notices, "n_windows", F.coalesce("n_named", F.lit(0)).cast("long").alias("n_named"), "guess", "guess_score")
